@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plinth.llm.ngram_join import op5_ngram_join
 from plinth.llm.packing import op1_packing
 from plinth.llm.sharding import op3_sharding
 
@@ -10,6 +11,7 @@ def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op3_sharding": op3_sharding,
+        "op5_ngram_join": op5_ngram_join,
     }
 
 
