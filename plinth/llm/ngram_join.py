@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -196,8 +197,6 @@ def _index(percent: int):
 
 def _shared(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link, counted on whole sets."""
-    import pandas as pd
-
     def linked(s: pd.Series, t: pd.Series) -> pd.Series:
         found = []
         for x, y in zip(s, t, strict=True):

@@ -6,6 +6,7 @@ import re
 import threading
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,8 +197,6 @@ def sequences(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The packed ids themselves: sequence_id, ids (array<int>), doc_ids in place order; a sequence is at most capacity ids."""
     pieces = materialize(token_pieces(docs, capacity), "pieces")
     packed = best_fit(pieces, capacity, ["doc_id", "piece", "start", "ids"])
-    import pandas as pd
-
     def unpack(ids: pd.Series) -> pd.Series:
         return ids.map(lambda raw: np.frombuffer(raw, "<u4").astype(np.int32))
 
