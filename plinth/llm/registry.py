@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from plinth.llm.ngram_join import op5_ngram_join
 from plinth.llm.packing import op1_packing
+from plinth.llm.quality import op2_quality_rules
 from plinth.llm.sharding import op3_sharding
 
 
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
+        "op2_quality_rules": op2_quality_rules,
         "op3_sharding": op3_sharding,
         "op5_ngram_join": op5_ngram_join,
     }
