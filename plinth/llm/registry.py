@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from plinth.llm.decontamination import op8_decontamination
 from plinth.llm.ngram_join import op5_ngram_join
 from plinth.llm.packing import op1_packing
 from plinth.llm.quality import op2_quality_rules
 from plinth.llm.sharding import op3_sharding
+from plinth.llm.toxicity import op9_toxicity
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
@@ -14,6 +22,9 @@ def queries() -> dict:
         "op2_quality_rules": op2_quality_rules,
         "op3_sharding": op3_sharding,
         "op5_ngram_join": op5_ngram_join,
+        "op8_decontamination": op8_decontamination,
+        "op9_toxicity": op9_toxicity,
+        "pipeline": pipeline,
     }
 
 
