@@ -18,6 +18,8 @@ SLICES = 64
 BLOCK = 32
 #: Lists of shingles seen more often than this are dealt over SALTS places.
 SALT_ABOVE, SALTS = 100_000, 64
+#: Bits of the filter of documents that have candidates; it only saves work, and is at most 16 MB.
+LEAST_BITS, MOST_BITS = 20, 27
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -211,12 +213,51 @@ def _shared(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(test("s", "t")).select("a", "b")
 
 
-def _whole_sets(k: int):
+def _marks(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (ids.view(np.uint64) * _MIX) >> np.uint64(64 - bits)
+
+
+def _mark(bits: int):
+    """The ids of a task as bits set, in slices."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        flags = np.zeros(1 << bits, bool)
+        for batch in batches:
+            flags[_marks(batch.column(0).to_numpy(zero_copy_only=False), bits)] = True
+        for i, part in enumerate(np.packbits(flags).reshape(SLICES, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "bits"])
+
+    return run
+
+
+def _or_slices(batches):
+    import pyarrow as pa
+
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            part = np.frombuffer(raw, np.uint8)
+            total[i] = total[i] | part if i in total else part
+    for i, part in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "bits"])
+
+
+def _whole_sets(k: int, marked, bits: int):
+    """The sets of the documents whose bit is set; a few others may come too."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, k).tobytes() for t in utf8_column(batch, "text")], pa.binary())], names=["doc", "shingles"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            at = _marks(ids, bits).astype(np.int64)
+            found = np.flatnonzero((marked.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            column = batch.column(1).take(pa.array(found))
+            picked = pa.RecordBatch.from_arrays([column], names=["text"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array([shingles(t, k).tobytes() for t in utf8_column(picked, "text")], pa.binary())], names=["doc", "shingles"])
 
     return run
 
@@ -244,8 +285,10 @@ def ngram_groups(docs: DataFrame, k: int = 5, percent: int = 80, salt_above: int
     sketch = spark.sparkContext.broadcast(sketch.reshape(SKETCH_ROWS, -1))
 
     sizes = described.where("slice is null").drop("slice", "counts")
-    classes = sizes.where("n > 0").groupBy("fp_hi", "fp_lo", "n").agg(F.min("doc_id").alias("rep"))
-    members = materialize(sizes.join(classes, ["fp_hi", "fp_lo", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep"), "members")
+    copies = sizes.where("n > 0").groupBy("fp_hi", "fp_lo", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    rep = F.when(F.col("n") > 0, F.coalesce("first", "doc_id")).alias("rep")
+    members = sizes.join(materialize(copies, "copies"), ["fp_hi", "fp_lo", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), rep)
+    members = materialize(members, "members")
     reps = members.where("rep = doc_id").select(F.col("rep").alias("doc")).distinct()
 
     prefixes = docs.mapInArrow(_prefixes(k, percent, sketch, salt_above), "doc long, n int, tokens array<long>, salts array<int>")
@@ -286,10 +329,29 @@ def ngram_groups(docs: DataFrame, k: int = 5, percent: int = 80, salt_above: int
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(texts.mapInArrow(_whole_sets(k), "doc long, shingles binary"), "sets")
-    return materialize(_shared(pairs, sets, percent), "links")
+    """The pairs that link, by their whole sets; only texts that a bit filter lets through are cut again."""
+    spark = docs.sparkSession
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "needed")
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * needed.count()).bit_length()))
+    marks = needed.mapInArrow(_mark(bits), "slice int, bits binary").repartition(SLICES, "slice").mapInArrow(_or_slices, "slice int, bits binary")
+    flags = np.zeros((SLICES, (1 << bits) // 8 // SLICES), np.uint8)
+    for row in marks.collect():  # 64 rows, 16 MB at most
+        flags[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+    marked = spark.sparkContext.broadcast(flags.ravel())
+    sets = docs.mapInArrow(_whole_sets(k, marked, bits), "doc long, shingles binary").join(needed, "doc", "left_semi").dropDuplicates(["doc"])
+    return materialize(_shared(pairs, materialize(sets, "sets"), percent), "links")
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The document with the smallest doc_id of each group, with its own columns.
+
+    Documents without shingles are in no group and stay. Of rows with one doc_id, one stays.
+    """
+    grouped = ngram_groups(docs, k, percent).select("doc_id", "component_id")
+    later = materialize(grouped.where("doc_id != component_id").select("doc_id").distinct(), "later")
+    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:

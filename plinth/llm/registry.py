@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plinth.llm.decontamination import op8_decontamination
+from plinth.llm.lm_scoring import op10_lm_scoring
 from plinth.llm.ngram_join import op5_ngram_join
 from plinth.llm.packing import op1_packing
 from plinth.llm.quality import op2_quality_rules
@@ -24,6 +25,7 @@ def queries() -> dict:
         "op5_ngram_join": op5_ngram_join,
         "op8_decontamination": op8_decontamination,
         "op9_toxicity": op9_toxicity,
+        "op10_lm_scoring": op10_lm_scoring,
         "pipeline": pipeline,
     }
 
