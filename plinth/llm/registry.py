@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plinth.llm.chat import OP6_SQL, op6_chat_formatting
 from plinth.llm.decontamination import op8_decontamination
 from plinth.llm.langid import op7_langid
 from plinth.llm.lm_scoring import op10_lm_scoring
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op3_sharding": op3_sharding,
         "op4_token_counts": op4_token_counts,
         "op5_ngram_join": op5_ngram_join,
+        "op6_chat_formatting": op6_chat_formatting,
         "op7_langid": op7_langid,
         "op8_decontamination": op8_decontamination,
         "op9_toxicity": op9_toxicity,
@@ -35,4 +37,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_formatting": OP6_SQL}
