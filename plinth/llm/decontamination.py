@@ -103,8 +103,9 @@ def _windowed(known, width: int):
 def _covered(places: list[tuple[int, list[str], list[str]]], n: int, width: int) -> int:
     """The longest stretch of an item that aligned windows cover while each slot value keeps one counterpart.
 
-    places: (place in the item, its slots, the document's slots), in order. Placeholders are matched one to
-    one; a window that breaks the mapping so far ends the stretch and begins the next.
+    places: (place in the item, its slots, the document's slots), in order. A value has one counterpart
+    throughout, and two names have two, while different numbers may become the same; a window that breaks
+    the mapping so far ends the stretch and begins the next.
     """
     best = run = 0
     end = -1
@@ -112,19 +113,19 @@ def _covered(places: list[tuple[int, list[str], list[str]]], n: int, width: int)
     back: dict[str, str] = {}
     for at, ours, theirs in places:
         pairs = list(zip(ours, theirs, strict=True))
-        fits = all(forth.get(a, b) == b and back.get(b, a) == a for a, b in pairs)
+        named = [(a, b) for a, b in pairs if a[0] == "3"]
+        fits = all(forth.get(a, b) == b for a, b in pairs) and all(back.get(b, a) == a for a, b in named)
         inner = dict(pairs)
-        sound = all(inner[a] == b for a, b in pairs) and len(set(inner.values())) == len(inner)
+        sound = all(inner[a] == b for a, b in pairs) and len({b for _, b in named}) == len({a for a, _ in named})
         if not sound:
             end = -1
             continue
         if end < at or not fits:
-            run, forth, back = 0, {}, {}
-            run = width
+            run, forth, back = width, {}, {}
         else:
             run += at + width - end
         forth.update(pairs)
-        back.update((b, a) for a, b in pairs)
+        back.update((b, a) for a, b in named)
         end = at + width
         best = max(best, run)
     return min(best, n)
