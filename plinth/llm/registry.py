@@ -7,6 +7,7 @@ from plinth.llm.decontamination import op8_decontamination
 from plinth.llm.langid import op7_langid
 from plinth.llm.lm_scoring import op10_lm_scoring
 from plinth.llm.ngram_join import op5_ngram_join
+from plinth.llm.oracles import OP2_SQL, OP5_SQL
 from plinth.llm.packing import op1_packing
 from plinth.llm.quality import op2_quality_rules
 from plinth.llm.sharding import op3_sharding
@@ -37,4 +38,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op5_ngram_join": OP5_SQL, "op6_chat_formatting": OP6_SQL}
