@@ -47,14 +47,15 @@ def quantile_uniform(df: DataFrame, columns: list[str], steps: int = 100) -> Fit
     """Place of a value among fitted quantiles, interpolated, 0 to 1."""
     grid = [i / steps for i in range(steps + 1)]
     s = _one(df, {c: F.percentile(c, F.array(*map(F.lit, grid))) for c in columns})
-    out = {}
-    for c in columns:
+
+    def place(c: str) -> Column:
         edges = F.array(*map(F.lit, s[c]))
-        at = F.size(F.filter(edges, lambda e, c=c: e <= F.col(c)))
+        at = F.size(F.filter(edges, lambda e: e <= F.col(c)))
         low, high = F.get(edges, at - 1), F.get(edges, at)
         inside = (at - 1 + F.coalesce(F.try_divide(F.col(c) - low, high - low), F.lit(0.0))) / steps
-        out[c] = F.when(at == 0, 0.0).when(at > steps, 1.0).otherwise(inside)
-    return Fitted(out)
+        return F.when(at == 0, 0.0).when(at > steps, 1.0).otherwise(inside)
+
+    return Fitted({c: place(c) for c in columns})
 
 
 def choose_scaler(df: DataFrame, columns: list[str]) -> dict[str, str]:

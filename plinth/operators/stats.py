@@ -168,3 +168,78 @@ def ks_two_sample(df: DataFrame, value: str, group) -> dict:
     gap = F.abs((F.sum("a").over(inside) + F.col("sa")) / F.lit(n["a"]) - (F.sum("b").over(inside) + F.col("sb")) / F.lit(n["b"]))
     d = parts.join(F.broadcast(shift), "part").select(gap.alias("gap")).agg(F.max("gap")).first()[0]
     return {"d": d, "p": ks_p_value(d, n["a"], n["b"]), "n": n["a"], "m": n["b"]}
+
+
+def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds the rank of a value, ties sharing their mean rank; ranks come from counts of distinct values.
+
+    Distinct values are ranged and their counts cumulated range by range, so no task orders all rows.
+    """
+    from pyspark.sql.window import Window
+
+    each = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    parts = each.repartitionByRange(column).withColumn("_part", F.spark_partition_id())
+    sums = parts.groupBy("_part").agg(F.sum("_n").alias("_s"))
+    shift = sums.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    upto = F.sum("_n").over(Window.partitionBy("_part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = parts.join(F.broadcast(shift), "_part").select(column, (F.col("_s") + upto - (F.col("_n") - 1) / 2).alias(out))
+    return df.join(ranked, column, "left")
+
+
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(rho): Pearson r of average ranks."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
+    return average_ranks(average_ranks(rows, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("rho"))
+
+
+def wilcoxon(df: DataFrame, a: str, b: str) -> dict:
+    """Signed-rank test of pairs, zero differences left out, normal approximation."""
+    d = df.select((F.col(a) - F.col(b)).alias("d")).where("d IS NOT NULL AND d <> 0").select("d", F.abs("d").alias("m"))
+    r = average_ranks(d, "m", "r").agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum("r").alias("all"), F.count(F.lit(1)).alias("n")).first()
+    n = r["n"]
+    if not n:
+        return {"n": 0, "statistic": 0.0, "p": 1.0}
+    low = min(r["up"], r["all"] - r["up"])
+    z = (low - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    return {"n": n, "statistic": low, "p": normal_two_sided(z)}
+
+
+def chi2_upper(x: float, k: int) -> float:
+    """P(X >= x) of chi-square with k degrees of freedom, by the incomplete gamma function's series and fraction."""
+    a, x = k / 2, x / 2
+    if x <= 0:
+        return 1.0
+    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        for i in range(1, 1000):
+            term *= x / (a + i)
+            total += term
+        return max(0.0, 1 - front * total)
+    f = 0.0
+    for i in range(500, 0, -1):
+        f = i * (i - a) / (x + 2 * i + 1 - a - f)
+    return front / (x + 1 - a - f)
+
+
+def friedman(df: DataFrame, block: str, columns: list[str]) -> dict:
+    """Friedman test of k related columns: ranks within a row, ties sharing the mean; one aggregation."""
+    k = len(columns)
+    values = F.array(*columns)
+    rank = lambda c: F.size(F.filter(values, lambda v: v < F.col(c))) + (F.size(F.filter(values, lambda v: v == F.col(c))) + 1) / 2
+    ranks = [rank(c) for c in columns]
+    r = df.dropna(subset=columns).agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(c) for e, c in zip(ranks, columns, strict=True)]).first()
+    n = r["n"]
+    if not n or k < 2:
+        return {"n": n, "statistic": 0.0, "p": 1.0}
+    x = 12 / (n * k * (k + 1)) * sum(r[c] ** 2 for c in columns) - 3 * n * (k + 1)
+    return {"n": n, "statistic": x, "p": chi2_upper(x, k - 1)}
+
+
+def bootstrap_difference(df: DataFrame, keys: list[str], a: str, b: str, rounds: int = 200, seed: int = 42) -> dict:
+    """Mean of a - b over Poisson bootstrap rounds: interval of the middle 95 %, and a two-sided p of at most 1."""
+    from plinth.operators.splits import bootstrap
+
+    m = bootstrap(df, keys, rounds, seed).groupBy("round").agg(F.avg(F.col(a) - F.col(b)).alias("m"))
+    r = m.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"), F.avg((F.col("m") <= 0).cast("double")).alias("low")).first()
+    return {"low": r["q"][0], "median": r["q"][1], "high": r["q"][2], "p": min(1.0, 2 * min(r["low"], 1 - r["low"]))}

@@ -64,3 +64,24 @@ def latest_interactions(df: DataFrame, user: str, item: str, time: str, tie: str
     """The last row of each (user, item) by time, then by the unique tie column; one aggregation, no window."""
     order = F.struct(time, tie)
     return df.groupBy(user, item).agg(F.max_by(F.struct(*df.columns), order).alias("_last")).select("_last.*")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the folder of spark.checkpoint.dir, which all machines share, and read back.
+
+    Where the setting is absent and the master is local, a temporary folder is set.
+    """
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = "file://" + tempfile.mkdtemp(prefix="plinth-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/durable/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
