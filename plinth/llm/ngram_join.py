@@ -272,7 +272,8 @@ def ngram_groups(docs: DataFrame, k: int = 5, percent: int = 80, salt_above: int
     the list's first set, and only pairs in different groups after that are compared themselves.
 
     Null or empty texts have no shingles and link with nothing; other columns are ignored; a repeated
-    doc_id gives a row each time. No rows give no rows.
+    doc_id gives a row each time. A row with a null doc_id is in the group of texts equal to its own, if
+    any, else its component_id is null. No rows give no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -291,6 +292,7 @@ def ngram_groups(docs: DataFrame, k: int = 5, percent: int = 80, salt_above: int
     members = materialize(members, "members")
     reps = members.where("rep = doc_id").select(F.col("rep").alias("doc")).distinct()
 
+    docs = docs.where("doc_id IS NOT NULL")
     prefixes = docs.mapInArrow(_prefixes(k, percent, sketch, salt_above), "doc long, n int, tokens array<long>, salts array<int>")
     postings = prefixes.join(reps, "doc", "left_semi").select("doc", "n", F.posexplode(F.arrays_zip("tokens", "salts")).alias("p", "z"))
     postings = postings.select(F.col("z.tokens").alias("token"), F.col("z.salts").alias("salt"), "p", "n", "doc")
@@ -345,13 +347,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The document with the smallest doc_id of each group, with its own columns.
 
-    Documents without shingles are in no group and stay. Of rows with one doc_id, one stays.
+    Documents without shingles are in no group and stay. Of rows with one doc_id, one stays; all rows with a null
+    doc_id stay.
     """
     grouped = ngram_groups(docs, k, percent).select("doc_id", "component_id")
     later = materialize(grouped.where("doc_id != component_id").select("doc_id").distinct(), "later")
     kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL")) if repeated else kept
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:

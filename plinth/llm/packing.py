@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plinth.llm.common import bounded_batches, gapless, materialize, utf8_column
 
@@ -167,7 +168,6 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | Non
     runs = np.array(sorted(plan_bins(counts, capacity)), dtype=np.int64).reshape(-1, 5)
     keys = runs[:, 0] * (1 << 48) + runs[:, 1]
     ranked = gapless(pieces, "length", order, "_rank")
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
     kept = [f.name for f in pieces.schema]
 
     def run(batches):
@@ -182,7 +182,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | Non
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(bin_id + step), pa.array(offset + place * length)], names=[*kept, "sequence_id", "offset"])
 
-    return ranked.select(*kept, "_rank").mapInArrow(run, ", ".join([*names, "sequence_id long", "offset long"]))
+    return ranked.select(*kept, "_rank").mapInArrow(run, T.StructType([*pieces.schema, *[T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")]]))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plinth.llm.common import CACHE_WORDS, bounded_batches, utf8_column
 
@@ -141,7 +142,7 @@ def count_tokens(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in columns]], names=[*kept, *made])
 
-    return docs.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], *[f"{c} long" for c in made]]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, *[T.StructField(c, T.LongType()) for c in made]]))
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:

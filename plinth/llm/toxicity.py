@@ -8,6 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plinth.llm.common import CACHE_WORDS, bounded_batches, utf8_column
 
@@ -185,13 +186,14 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
             p[[not len(s) for s in sets]] = 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in p.T], pa.array(p[:, -1] >= threshold)], names=[*kept, *names, "is_toxic"])
 
-    form = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], *[f"{n} double" for n in names], "is_toxic boolean"])
-    return docs.mapInArrow(run, form)
+    made = [*[T.StructField(n, T.DoubleType()) for n in names], T.StructField("is_toxic", T.BooleanType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema, *made]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not toxic, with their own columns."""
-    return score(docs, train(docs, labels)).where("NOT is_toxic").select(*docs.columns)
+    whole = docs.select("text", F.struct(*docs.columns).alias("_own"))
+    return score(whole, train(docs, labels)).where("NOT is_toxic").select("_own.*")
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

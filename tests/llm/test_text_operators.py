@@ -503,3 +503,18 @@ def test_empty_tables(spark, empty):
     assert decontamination.matches(empty, items).count() == 0
     assert toxicity.drop_toxic(empty, labels).count() == 0
     assert lm_scoring.score_texts(empty, F.col("doc_id") % 10 == 0).count() == 0
+
+
+def test_null_ids_and_clashing_columns(spark):
+    text = "the house of water and stone is green and the tree of life is old and tall today"
+    rows = [(None, text, "en", "s", 0), (3, text, "en", "s", 0), (None, "other words here", None, None, None), (3, text, "en", "s", 0), (4, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("is_toxic", F.lit("x")).withColumn("kept", F.lit(1)).withColumn("component_id", F.lit(2)).withColumn("offset", F.lit(5))
+    labels = spark.createDataFrame([(3, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in ngram_join.ngram_groups(docs).collect()) == [(-1, -1), (-1, 3), (3, 3), (3, 3), (4, 4)]
+    assert sorted(r.doc_id or -1 for r in ngram_join.keep_first(docs).collect()) == [-1, -1, 3, 4]
+    assert packing.pack_documents(docs, 8).select("doc_id").distinct().count() == 3
+    assert sharding.shard_documents(docs, 2).count() == 5
+    assert lm_scoring.score_texts(docs, F.col("doc_id") % 10 == 0).count() == 5
+    left = toxicity.drop_toxic(docs, labels)
+    assert left.columns == docs.columns and {r.is_toxic for r in left.collect()} == {"x"}
+    assert quality.keep_good(docs).columns == docs.columns
