@@ -115,10 +115,10 @@ def _(t):
 @query("e28_returns", "WITH d AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, sum(o_totalprice) AS s FROM orders GROUP BY 1), r AS (SELECT s / lag(s) OVER (ORDER BY day) - 1 AS x FROM d) SELECT round(avg(x) / stddev_pop(x) * sqrt(252), 6) AS sharpe, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(quantile_cont(x, 0.05), 6) AS var5 FROM r WHERE x IS NOT NULL")
 def _(t):
     from plinth.operators.windows import change
-    from plinth.plans.series import BY_DAY
+    from plinth.plans.series import by_day
 
     d = t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.sum("o_totalprice").alias("s"))
-    return rounded(M.returns(d.select(change("s", BY_DAY).alias("x")).where("x IS NOT NULL"), "x"))
+    return rounded(M.returns(d.select(change("s", by_day()).alias("x")).where("x IS NOT NULL"), "x"))
 
 
 @query("e29_diversity", PRED + """, c AS (SELECT count(*) FILTER (y = p AND y = p2) AS a, count(*) FILTER (y <> p AND y <> p2) AS d, count(*) FILTER (y = p AND y <> p2) AS b, count(*) FILTER (y <> p AND y = p2) AS c, count(*) AS n, avg(CASE WHEN p <> p2 THEN 1.0 ELSE 0.0 END) AS g FROM p), e AS (SELECT *, ((a + b) * (a + c) + (d + c) * (d + b)) / (n * n) AS x FROM c)

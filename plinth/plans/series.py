@@ -15,7 +15,8 @@ def daily(t):
     return t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("sales"), F.count(F.lit(1)).alias("n"))
 
 
-BY_DAY = Window.orderBy("day")
+def by_day():
+    return Window.orderBy("day")
 
 
 def r(c, n=4):
@@ -24,7 +25,7 @@ def r(c, n=4):
 
 @query("w01_lag_global", DAILY + "SELECT day, lag(sales, 1) OVER (ORDER BY day) AS lag1, lag(sales, 7) OVER (ORDER BY day) AS lag7 FROM d")
 def _(t):
-    return daily(t).select("day", F.lag("sales", 1).over(BY_DAY).alias("lag1"), F.lag("sales", 7).over(BY_DAY).alias("lag7"))
+    return daily(t).select("day", F.lag("sales", 1).over(by_day()).alias("lag1"), F.lag("sales", 7).over(by_day()).alias("lag7"))
 
 
 @query("w02_lag_per_key", "SELECT o_orderkey, round(lag(o_totalprice, 1) OVER w, 2) AS lag1, round(lag(o_totalprice, 3) OVER w, 2) AS lag3 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
@@ -43,12 +44,12 @@ def _(t):
 SELECT day, CASE WHEN count(sales) OVER w = 7 THEN round(avg(sales) OVER w, 4) END AS mean7, CASE WHEN count(sales) OVER w = 7 THEN round(max(sales) OVER w, 4) END AS max7, CASE WHEN count(sales) OVER w = 7 THEN round(min(sales) OVER w, 4) END AS min7
 FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""")
 def _(t):
-    return daily(t).select("day", *[r(W.rolling(f, "sales", BY_DAY, 7, shift=1)).alias(n) for f, n in ((F.avg, "mean7"), (F.max, "max7"), (F.min, "min7"))])
+    return daily(t).select("day", *[r(W.rolling(f, "sales", by_day(), 7, shift=1)).alias(n) for f, n in ((F.avg, "mean7"), (F.max, "max7"), (F.min, "min7"))])
 
 
 @query("w05_rolling_mean", DAILY + "SELECT day, CASE WHEN count(sales) OVER w = 30 THEN round(avg(sales) OVER w, 4) END AS mean30 FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)")
 def _(t):
-    return daily(t).select("day", r(W.rolling(F.avg, "sales", BY_DAY, 30)).alias("mean30"))
+    return daily(t).select("day", r(W.rolling(F.avg, "sales", by_day(), 30)).alias("mean30"))
 
 
 @query("w06_rolling_per_key", "SELECT event_id, round(avg(value) OVER w, 6) AS mean3, round(stddev_samp(value) OVER w, 5) AS std3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
@@ -60,7 +61,7 @@ def _(t):
 @query("w07_rolling_slope", DAILY + """, s AS (SELECT day, sales, row_number() OVER (ORDER BY day) AS i FROM d)
 SELECT day, CASE WHEN count(*) OVER w = 6 THEN round(regr_slope(sales, i) OVER w, 3) END AS slope FROM s WINDOW w AS (ORDER BY day ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""")
 def _(t):
-    return daily(t).select("day", r(W.slope("sales", BY_DAY, 6), 3).alias("slope"))
+    return daily(t).select("day", r(W.slope("sales", by_day(), 6), 3).alias("slope"))
 
 
 @query("w08_rolling_rate", "SELECT event_id, round(avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rate FROM events")
@@ -90,15 +91,15 @@ def _(t):
 SELECT day, CASE WHEN count(*) OVER w = 20 THEN round(avg(sales) OVER w - 2 * stddev_pop(sales) OVER w, 3) END AS lower_band, CASE WHEN count(*) OVER w = 20 THEN round(avg(sales) OVER w + 2 * stddev_pop(sales) OVER w, 3) END AS upper_band
 FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def _(t):
-    m, s = W.rolling(F.avg, "sales", BY_DAY, 20), W.rolling(F.stddev_pop, "sales", BY_DAY, 20)
+    m, s = W.rolling(F.avg, "sales", by_day(), 20), W.rolling(F.stddev_pop, "sales", by_day(), 20)
     return daily(t).select("day", r(m - 2 * s, 3).alias("lower_band"), r(m + 2 * s, 3).alias("upper_band"))
 
 
 @query("w12_rsi", DAILY + """, c AS (SELECT day, sales - lag(sales) OVER (ORDER BY day) AS x FROM d), g AS (SELECT day, count(x) OVER w AS k, avg(greatest(x, 0)) OVER w AS up, avg(greatest(-x, 0)) OVER w AS down FROM c WINDOW w AS (ORDER BY day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
 SELECT day, CASE WHEN k < 14 THEN 50.0 WHEN down = 0 THEN 100.0 ELSE round(100 - 100 / (1 + up / down), 4) END AS rsi FROM g""")
 def _(t):
-    c = daily(t).withColumn("x", F.col("sales") - F.lag("sales").over(BY_DAY))
-    w = BY_DAY.rowsBetween(-13, 0)
+    c = daily(t).withColumn("x", F.col("sales") - F.lag("sales").over(by_day()))
+    w = by_day().rowsBetween(-13, 0)
     g = c.select("day", F.count("x").over(w).alias("k"), F.avg(F.greatest("x", F.lit(0.0))).over(w).alias("up"), F.avg(F.greatest(-F.col("x"), F.lit(0.0))).over(w).alias("down"))
     return g.select("day", F.when(F.col("k") < 14, 50.0).when(F.col("down") == 0, 100.0).otherwise(r(100 - 100 / (1 + F.try_divide("up", "down")))).alias("rsi"))
 
@@ -106,7 +107,7 @@ def _(t):
 @query("w13_williams_r", DAILY + """, g AS (SELECT day, sales, count(*) OVER w AS k, max(sales) OVER w AS hi, min(sales) OVER w AS lo FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
 SELECT day, CASE WHEN k < 14 OR hi = lo THEN -50.0 ELSE round(-100 * (hi - sales) / (hi - lo), 4) END AS williams, CASE WHEN k < 14 OR hi = lo THEN 50.0 ELSE round(100 * (sales - lo) / (hi - lo), 4) END AS stochastic FROM g""")
 def _(t):
-    w = BY_DAY.rowsBetween(-13, 0)
+    w = by_day().rowsBetween(-13, 0)
     g = daily(t).select("day", "sales", F.count(F.lit(1)).over(w).alias("k"), F.max("sales").over(w).alias("hi"), F.min("sales").over(w).alias("lo"))
     short, span = (F.col("k") < 14) | (F.col("hi") == F.col("lo")), F.col("hi") - F.col("lo")
     return g.select("day", F.when(short, -50.0).otherwise(r(F.try_divide(-100 * (F.col("hi") - F.col("sales")), span))).alias("williams"), F.when(short, 50.0).otherwise(r(F.try_divide(100 * (F.col("sales") - F.col("lo")), span))).alias("stochastic"))
@@ -118,35 +119,35 @@ x AS (SELECT day, greatest(hi - lo, coalesce(abs(hi - lag(cl) OVER (ORDER BY day
 SELECT day, CASE WHEN count(*) OVER w = 14 THEN round(avg(tr) OVER w, 3) END AS atr FROM x WINDOW w AS (ORDER BY day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""")
 def _(t):
     d = t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.max("o_totalprice").alias("hi"), F.min("o_totalprice").alias("lo"), F.max_by("o_totalprice", "o_orderkey").alias("cl"))
-    p = F.lag("cl").over(BY_DAY)
+    p = F.lag("cl").over(by_day())
     x = d.select("day", F.greatest(F.col("hi") - F.col("lo"), F.coalesce(F.abs(F.col("hi") - p), F.lit(0.0)), F.coalesce(F.abs(F.col("lo") - p), F.lit(0.0))).alias("tr"))
-    return x.select("day", r(W.rolling(F.avg, "tr", BY_DAY, 14), 3).alias("atr"))
+    return x.select("day", r(W.rolling(F.avg, "tr", by_day(), 14), 3).alias("atr"))
 
 
 @query("w15_volatility", DAILY + """, l AS (SELECT day, ln(sales / lag(sales) OVER (ORDER BY day)) AS x FROM d) SELECT day, CASE WHEN count(x) OVER w = 20 THEN round(stddev_pop(x) OVER w * sqrt(252), 5) END AS vol FROM l WINDOW w AS (ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def _(t):
-    x = daily(t).select("day", F.ln(F.try_divide(F.col("sales"), F.lag("sales").over(BY_DAY))).alias("x"))
-    return x.select("day", r(W.rolling(F.stddev_pop, "x", BY_DAY, 20) * F.sqrt(F.lit(252.0)), 5).alias("vol"))
+    x = daily(t).select("day", F.ln(F.try_divide(F.col("sales"), F.lag("sales").over(by_day()))).alias("x"))
+    return x.select("day", r(W.rolling(F.stddev_pop, "x", by_day(), 20) * F.sqrt(F.lit(252.0)), 5).alias("vol"))
 
 
 @query("w16_momentum", DAILY + "SELECT day, round(sales / lag(sales, 9) OVER (ORDER BY day) - 1, 6) AS momentum FROM d")
 def _(t):
-    return daily(t).select("day", r(W.change("sales", BY_DAY, 9), 6).alias("momentum"))
+    return daily(t).select("day", r(W.change("sales", by_day(), 9), 6).alias("momentum"))
 
 
 @query("w18_diff_and_change", DAILY + "SELECT day, round(sales - lag(sales) OVER (ORDER BY day), 2) AS diff1, round(sales - lag(sales, 7) OVER (ORDER BY day), 2) AS diff7, round(sales / lag(sales) OVER (ORDER BY day) - 1, 6) AS pct1 FROM d")
 def _(t):
-    return daily(t).select("day", r(F.col("sales") - F.lag("sales").over(BY_DAY), 2).alias("diff1"), r(F.col("sales") - F.lag("sales", 7).over(BY_DAY), 2).alias("diff7"), r(W.change("sales", BY_DAY), 6).alias("pct1"))
+    return daily(t).select("day", r(F.col("sales") - F.lag("sales").over(by_day()), 2).alias("diff1"), r(F.col("sales") - F.lag("sales", 7).over(by_day()), 2).alias("diff7"), r(W.change("sales", by_day()), 6).alias("pct1"))
 
 
 @query("w19_cumulative_sum", DAILY + "SELECT day, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS orders_so_far FROM d")
 def _(t):
-    return daily(t).select("day", F.sum("n").over(BY_DAY.rowsBetween(Window.unboundedPreceding, 0)).alias("orders_so_far"))
+    return daily(t).select("day", F.sum("n").over(by_day().rowsBetween(Window.unboundedPreceding, 0)).alias("orders_so_far"))
 
 
 @query("w20_drawdown", DAILY + "SELECT day, round((sales - max(sales) OVER w) / max(sales) OVER w, 6) AS drawdown FROM d WINDOW w AS (ORDER BY day ROWS UNBOUNDED PRECEDING)")
 def _(t):
-    return daily(t).select("day", r(W.drawdown("sales", BY_DAY), 6).alias("drawdown"))
+    return daily(t).select("day", r(W.drawdown("sales", by_day()), 6).alias("drawdown"))
 
 
 @query("w21_cumulative_return", "SELECT event_id, round(exp(sum(ln(1 + value / 1000)) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 6) AS growth FROM events")
@@ -211,13 +212,13 @@ def _(t):
 
 @query("w27_seasonal_naive_mase", DAILY + ", e AS (SELECT abs(sales - lag(sales, 7) OVER (ORDER BY day)) AS s, abs(sales - lag(sales, 1) OVER (ORDER BY day)) AS f FROM d) SELECT round(avg(f) / avg(s), 6) AS mase FROM e WHERE s IS NOT NULL")
 def _(t):
-    e = daily(t).select(F.abs(F.col("sales") - F.lag("sales", 7).over(BY_DAY)).alias("s"), F.abs(F.col("sales") - F.lag("sales", 1).over(BY_DAY)).alias("f"))
+    e = daily(t).select(F.abs(F.col("sales") - F.lag("sales", 7).over(by_day())).alias("s"), F.abs(F.col("sales") - F.lag("sales", 1).over(by_day())).alias("f"))
     return e.where("s IS NOT NULL").agg(r(F.try_divide(F.avg("f"), F.avg("s")), 6).alias("mase"))
 
 
 @query("w28_directional_accuracy", DAILY + ", e AS (SELECT sign(sales - lag(sales) OVER w) AS a, sign(lag(sales) OVER w - lag(sales, 2) OVER w) AS p FROM d WINDOW w AS (ORDER BY day)) SELECT round(avg(CASE WHEN a = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM e WHERE p IS NOT NULL")
 def _(t):
-    a, b = F.lag("sales").over(BY_DAY), F.lag("sales", 2).over(BY_DAY)
+    a, b = F.lag("sales").over(by_day()), F.lag("sales", 2).over(by_day())
     e = daily(t).select(F.signum(F.col("sales") - a).alias("a"), F.signum(a - b).alias("p"))
     return e.where("p IS NOT NULL").agg(r(F.avg(F.when(F.col("a") == F.col("p"), 1.0).otherwise(0.0)), 6).alias("accuracy"))
 
@@ -225,8 +226,8 @@ def _(t):
 @query("w29_seasonal_decomposition", DAILY + """, n AS (SELECT day, sales, row_number() OVER (ORDER BY day) - 1 AS i, CASE WHEN count(*) OVER w = 7 THEN avg(sales) OVER w END AS trend FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
 s AS (SELECT i % 7 AS p, avg(sales - trend) AS x FROM n GROUP BY 1), c AS (SELECT p, x - avg(x) OVER () AS season FROM s) SELECT day, round(trend, 3) AS trend, round(season, 3) AS season, round(sales - trend - season, 3) AS residual FROM n JOIN c ON i % 7 = p""")
 def _(t):
-    w = BY_DAY.rowsBetween(-3, 3)
-    n = daily(t).select("day", "sales", ((F.row_number().over(BY_DAY) - 1) % 7).alias("p"), F.when(F.count("sales").over(w) == 7, F.avg("sales").over(w)).alias("trend"))
+    w = by_day().rowsBetween(-3, 3)
+    n = daily(t).select("day", "sales", ((F.row_number().over(by_day()) - 1) % 7).alias("p"), F.when(F.count("sales").over(w) == 7, F.avg("sales").over(w)).alias("trend"))
     s = n.groupBy("p").agg(F.avg(F.col("sales") - F.col("trend")).alias("x"))
     s = s.select("p", (F.col("x") - F.avg("x").over(Window.partitionBy())).alias("season"))
     return n.join(F.broadcast(s), "p").select("day", r("trend", 3).alias("trend"), r("season", 3).alias("season"), r(F.col("sales") - F.col("trend") - F.col("season"), 3).alias("residual"))
