@@ -101,3 +101,18 @@ def utf8_column(batch, name: str) -> list[bytes | None]:
 
     column = batch.column(batch.schema.get_field_index(name))
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def gathered(batches, rows: int):
+    """Arrow batches of small rows put together to about `rows` rows each, for work on whole arrays."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

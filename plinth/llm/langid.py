@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plinth.llm.common import bounded_batches, utf8_column
+from plinth.llm.common import bounded_batches, gathered, utf8_column
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Weight of a character that no piece has, and counts added to each piece.
@@ -134,7 +134,7 @@ def _expect(name: str):
         # equal weights; each character carries a factor that keeps the sums near one
         base = np.array([32.0 ** len(p) / vocabulary.size for p in vocabulary.number] + [UNKNOWN])
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in gathered(batches, 40_000):
             groups: dict[tuple[str, int], list[tuple[str, int]]] = {}
             for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 whole = "▁" + word
