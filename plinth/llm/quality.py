@@ -38,6 +38,15 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _where(df: DataFrame, test: Column) -> DataFrame:
+    """df.where(test), not pushed below the projections that make what the test reads.
+
+    Pushed down, a filter computes its counts anew for each use. The partition's number, never below 0,
+    counts as not deterministic, and a filter stays above a column made with it.
+    """
+    return df.withColumn("_test", test & (F.spark_partition_id() >= 0)).where("_test").drop("_test")
+
+
 def words_of(text: Column) -> Column:
     """Runs of characters other than space and 0x09-0x0D."""
     return F.array_remove(F.split(text, SPACE), "")
@@ -106,8 +115,8 @@ def references(counted: DataFrame) -> dict[str, dict[str, list[float]]]:
     at most four rows reach the driver; a language without documents has no reference.
     """
     symbol, chars = F.get("_classes", F.lit(len(CLASSES) - 1)), F.aggregate("_classes", F.lit(0).cast("long"), lambda s, x: s + x)
-    rows = counted.where(F.col("lang").isin(LANGUAGES) & (F.col("n_words") >= MIN_WORDS)).select("lang", "n_words", "_classes", "_common")
-    rows = rows.where(symbol <= MAX_REFERENCE_SYMBOLS * chars)
+    usable = F.col("lang").isin(LANGUAGES) & (F.col("n_words") >= MIN_WORDS) & (symbol <= MAX_REFERENCE_SYMBOLS * chars)
+    rows = _where(counted.select("lang", "n_words", "_classes", "_common"), usable)
     classes = [F.sum(F.get("_classes", F.lit(i))) for i in range(len(CLASSES))]
     common = [F.sum(F.get("_common", F.lit(i))) for i in range(len(EVERY_WORD))]
     found = {}
@@ -158,7 +167,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns; the texts are read twice, and never shuffled."""
     rows = docs.select("*", F.struct(*docs.columns).alias("_own"))
     judged = judge(features(rows), references(histograms(docs.select("text", "lang"))))
-    return judged.where("kept").select("_own.*")
+    return _where(judged, F.col("kept")).select("_own.*")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
