@@ -16,6 +16,7 @@ def daily(t):
 
 
 def by_day():
+    """Days in order; the daily table has one row a day."""
     return Window.orderBy("day")
 
 
