@@ -34,14 +34,47 @@ class Pieces:
         self.number = {p: k for k, p in enumerate(dict.fromkeys(model.id_to_piece(i) for i in usable))}
         self.size = len(self.number)
         self.longest = max(map(len, self.number))
+        self.keys = np.array([self._key(p) for p in self.number], np.uint64)
+        # two tables of places by hash; the second one takes the pieces whose place in the first is taken
+        self.tables, left = [], np.arange(self.size)
+        while len(left):
+            table = np.zeros(1 << self.BITS, np.int32)
+            at = self._places(self.keys[left], len(self.tables))
+            table[at[::-1]] = left[::-1]
+            self.tables.append(table)
+            left = left[table[at] != left]
+
+    #: Places of a table of pieces, and the factor of the rolling hash of a piece's characters.
+    BITS, BASE = 19, 0x9E3779B97F4A7C15
+
+    def _key(self, piece: str) -> int:
+        h = 0
+        for ch in piece:
+            h = (h * self.BASE + ord(ch) + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def _places(self, keys: np.ndarray, table: int) -> np.ndarray:
+        return (((keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * table)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def _numbers(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these 64-bit keys, -1 for none."""
+        out = np.full(keys.shape, -1, np.int32)
+        for i, table in enumerate(self.tables):
+            found = table[self._places(keys, i)]
+            hit = self.keys[found] == keys
+            out[hit] = found[hit]
+        return out
 
     def grid(self, words: list[str], n: int) -> np.ndarray:
         """words of n characters -> [word, end, length-1] piece numbers; size: a lone unknown character; -1: none."""
-        get, longest = self.number.get, min(self.longest, n)
+        longest = min(self.longest, n)
         out = np.full((len(words), n + 1, longest), -1, np.int32)
-        spans = [(j - k, j, k) for j in range(1, n + 1) for k in range(1, min(j, longest) + 1)]
-        flat = np.array([[get(w[i:j], -1) for i, j, _ in spans] for w in words], np.int32)
-        out[:, [j for _, j, _ in spans], [k - 1 for _, _, k in spans]] = flat
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n).astype(np.uint64) + np.uint64(1)
+        keys = codes
+        for k in range(1, longest + 1):
+            if k > 1:
+                keys = keys[:, :-1] * np.uint64(self.BASE) + codes[:, k - 1 :]
+            out[:, k:, k - 1] = self._numbers(keys)
         lone = out[:, 1:, 0]
         lone[lone < 0] = self.size
         return out
@@ -60,13 +93,15 @@ def forward(grid: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """grid [word, end, length-1], weights [piece + 1, language] -> log of the sum over segmentations [word, language]."""
     count, ends, longest = grid.shape
     languages = weights.shape[1]
-    padded = np.vstack([weights, np.zeros((1, languages))])  # number -1 takes the last row
     alpha = np.zeros((ends, count, languages))
     alpha[0] = 1.0
     scale = np.zeros((count, languages))
     for j in range(1, ends):
         for k in range(1, min(j, longest) + 1):
-            alpha[j] += alpha[j - k] * padded[grid[:, j, k - 1]]
+            numbers = grid[:, j, k - 1]
+            has = np.flatnonzero(numbers >= 0)
+            if len(has):
+                alpha[j, has] += alpha[j - k, has] * weights[numbers[has]]
         recent = alpha[max(0, j - longest + 1) : j + 1]
         top = recent.max(axis=0)
         if (top < 1e-150).any():
@@ -79,24 +114,23 @@ def forward(grid: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def expected(grid: np.ndarray, weights: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Expected uses of pieces over all segmentations, by forward and backward sums: (numbers, amounts)."""
     count, ends, longest = grid.shape
-    padded = np.append(weights, 0.0)
     alpha, beta = np.zeros((ends, count)), np.zeros((ends, count))
     alpha[0] = beta[-1] = 1.0
-    p = padded[grid]
+    spans = []  # end, length, the words with a piece there, its number and its weight
     for j in range(1, ends):
         for k in range(1, min(j, longest) + 1):
-            alpha[j] += alpha[j - k] * p[:, j, k - 1]
-    for j in range(ends - 1, 0, -1):
-        for k in range(1, min(j, longest) + 1):
-            beta[j - k] += beta[j] * p[:, j, k - 1]
-    numbers, amounts = [], []
+            has = np.flatnonzero(grid[:, j, k - 1] >= 0)
+            if len(has):
+                numbers = grid[has, j, k - 1]
+                spans.append((j, k, has, numbers, weights[numbers]))
+                alpha[j, has] += alpha[j - k, has] * spans[-1][4]
     share = times / np.maximum(alpha[-1], 1e-300)
-    for j in range(1, ends):
-        for k in range(1, min(j, longest) + 1):
-            numbers.append(grid[:, j, k - 1])
-            amounts.append(alpha[j - k] * p[:, j, k - 1] * beta[j] * share)
-    numbers, amounts = np.concatenate(numbers), np.concatenate(amounts)
-    return numbers[numbers >= 0], amounts[numbers >= 0]
+    amounts = []
+    for j, k, has, _, p in reversed(spans):
+        # all spans that start at j come before in this order, so beta[j] is whole
+        amounts.append(alpha[j - k, has] * p * beta[j, has] * share[has])
+        beta[j - k, has] += beta[j, has] * p
+    return np.concatenate([s[3] for s in reversed(spans)]), np.concatenate(amounts)
 
 
 def _words(text: bytes | None) -> list[bytes]:
