@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plinth.llm.common import CACHE_WORDS, bounded_batches, utf8_column
+from plinth.llm.common import CACHE_WORDS, bounded_batches, materialize, utf8_column
 
 #: Labelled documents that the models are fitted on at most, taken in the order of a hash of doc_id.
 TRAIN_ROWS = 8000
@@ -122,8 +122,23 @@ def fit_link(sets: list[np.ndarray], before: np.ndarray, y: np.ndarray, rounds:
     return Link(words[chosen], w[:m], w[m : m + k], float(w[-1]))
 
 
+def common_only(sets: list[np.ndarray], least: int = MIN_DOCS, step: int = 400) -> list[np.ndarray]:
+    """The sets without the features of fewer than `least` sets, which no model would choose; counted part by part."""
+    words, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for at in range(0, len(sets), step):
+        part, n = np.unique(np.concatenate(sets[at : at + step]), return_counts=True)
+        merged, place = np.unique(np.concatenate([words, part]), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(merged)).astype(np.int64)
+        words = merged
+    kept = words[counts >= least]
+    if not len(kept):
+        return [s[:0] for s in sets]
+    return [s[kept[np.minimum(np.searchsorted(kept, s), len(kept) - 1)] == s] for s in sets]
+
+
 def fit_chain(sets: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS) -> Chain:
     """labels: a 0/1 column for each category. Later models learn from out-of-fold probabilities of earlier ones."""
+    sets = common_only(sets)
     chain, before = Chain(), np.empty((len(sets), 0))
     fold = np.arange(len(sets)) % folds
     for y in labels.T:
@@ -158,11 +173,12 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), *[batch.column(2 + i).cast(pa.int32()) for i in range(len(columns))]], names=["doc_id", "words", *columns])
 
     form = "doc_id long, words binary, " + ", ".join(f"{c} int" for c in columns)
-    found = {r["doc_id"]: r for r in rows.select("doc_id", "text", *columns).mapInArrow(run, form).collect()}
+    seen = materialize(rows.select("doc_id", "text", *columns).mapInArrow(run, form), "features")
+    # partition by partition, so that the driver's JVM never holds the whole sample
+    found = {r["doc_id"]: (np.frombuffer(r["words"], np.uint64), [float(r[column] == yes) for _, column, yes in CATEGORIES]) for r in seen.toLocalIterator()}
     ordered = [found[i] for i in sorted(found, key=lambda i: xxhash.xxh64_intdigest(str(i)))]
-    sets = [np.frombuffer(r["words"], np.uint64) for r in ordered]
-    table = np.array([[float(r[column] == yes) for _, column, yes in CATEGORIES] for r in ordered]).reshape(len(sets), len(CATEGORIES))
-    return fit_chain(sets, table)
+    table = np.array([y for _, y in ordered]).reshape(len(ordered), len(CATEGORIES))
+    return fit_chain([s for s, _ in ordered], table)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
