@@ -112,31 +112,29 @@ def _(t):
     return N.dbscan(rows, "p_partkey", ["p_size", "p"], 1.5, 4)
 
 
-def small(t):
-    return returned(t).where("l_orderkey % 10 = 1")
-
-
 @query("ml10_adaboost")
 def _(t):
-    p = H.AdaBoost(3).fit(small(t)).transform(small(t))
+    df = returned(t)
+    p = H.AdaBoost(3).fit(df).transform(df)
     return p.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ml16_gaussian_mixture")
 def _(t):
-    return L.cluster(small(t), "gaussian_mixture", 2).transform(small(t)).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    df = returned(t)
+    return L.cluster(df, "gaussian_mixture", 2).transform(df).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ml22_voting")
 def _(t):
-    df, keys = small(t), ["l_orderkey", "l_linenumber"]
+    df, keys = returned(t), ["l_orderkey", "l_linenumber"]
     models = {n: L.estimator(n, **p).fit(df) for n, p in (("logistic", {"maxIter": 5}), ("decision_tree", {"maxDepth": 3}))}
     return L.vote(df, models, keys).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ml25_stacking")
 def _(t):
-    df, keys = small(t), ["l_orderkey", "l_linenumber"]
+    df, keys = returned(t), ["l_orderkey", "l_linenumber"]
     models = {"logistic": L.estimator("logistic", maxIter=5), "tree": L.estimator("decision_tree", maxDepth=3)}
     base, final = L.stack(df, models, L.estimator("logistic", maxIter=5), keys, 2)
     return L.stacked(df, base, final, keys).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
@@ -144,31 +142,31 @@ def _(t):
 
 @query("ml23_bagging")
 def _(t):
-    df, keys = small(t), ["l_orderkey", "l_linenumber"]
+    df, keys = returned(t), ["l_orderkey", "l_linenumber"]
     return L.vote(df, L.bag(df, L.estimator("decision_tree", maxDepth=3), keys, 3), keys).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ml29_active_learning")
 def _(t):
-    df = small(t)
+    df = returned(t)
     scored = L.estimator("logistic", maxIter=5).fit(df).transform(df)
     return H.uncertain(scored, 20, "margin", ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.round("uncertainty", 6).alias("uncertainty"))
 
 
 @query("ml30_permutation_importance")
 def _(t):
-    df = small(t)
+    df = returned(t)
     found = L.permutation_importance(df, L.estimator("decision_tree", maxDepth=3).fit(df), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_orderkey", "l_linenumber"])
     return t.spark.createDataFrame([(k, float(v)) for k, v in found.items()], "feature string, importance double")
 
 
 @query("h02_grid_search")
 def _(t):
-    found = L.search(small(t), "decision_tree", {"maxDepth": [2, 3]}, ["l_orderkey", "l_linenumber"], folds=2)
+    found = L.search(returned(t), "decision_tree", {"maxDepth": [2, 3]}, ["l_orderkey", "l_linenumber"], folds=2)
     return t.spark.createDataFrame([(str(r["params"]), float(r["mean"])) for r in found], "params string, mean double")
 
 
 @query("v01_learning_curve")
 def _(t):
-    curve = H.learning_curve(small(t), L.estimator("decision_tree", maxDepth=3), ["l_orderkey", "l_linenumber"], (0.3, 1.0))
+    curve = H.learning_curve(returned(t), L.estimator("decision_tree", maxDepth=3), ["l_orderkey", "l_linenumber"], (0.3, 1.0))
     return t.spark.createDataFrame([(c["size"], float(c["train"]), float(c["valid"])) for c in curve], "size double, train double, valid double")

@@ -4,6 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from plinth.operators import generators, learning, neighbors, selection, stats
+from plinth.plans import catalog
+
+FOLDER = "/root/testdata/sf0.001"
+catalog.load()
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +77,17 @@ def test_knn_votes(spark):
     points = spark.range(100).select("id", F.array(F.col("id").cast("double"), F.lit(0.0)).alias("v"), (F.col("id") >= 50).cast("int").alias("y"))
     got = {r["id"]: r["prediction"] for r in learning.knn(points.where("id % 10 = 0"), points, "id", "v", "y", 3).collect()}
     assert got == {i: float(i > 50) for i in range(0, 100, 10)}
+
+
+@pytest.mark.parametrize("name", ["ml10_adaboost", "ml16_gaussian_mixture", "ml22_voting", "ml23_bagging", "ml25_stacking"])
+def test_model_queries_count_every_row(spark, name):
+    assert catalog.QUERIES[name](spark, FOLDER).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["ml29_active_learning", "ml30_permutation_importance", "h02_grid_search", "v01_learning_curve"])
+def test_model_queries_fit_every_row(spark, monkeypatch, name):
+    seen = []
+    for module, f in ((selection, "uncertain"), (learning, "permutation_importance"), (learning, "search"), (selection, "learning_curve")):
+        monkeypatch.setattr(module, f, lambda df, *a, g=getattr(module, f), **b: (seen.append(df.count()), g(df, *a, **b))[1])
+    catalog.QUERIES[name](spark, FOLDER).count()
+    assert seen == [spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()]
