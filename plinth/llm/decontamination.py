@@ -1,4 +1,4 @@
-"""Benchmark decontamination on templates: typed placeholders, window joins and slot consistency."""
+"""Benchmark decontamination on templates and on literal words: typed placeholders, window joins and slot consistency."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from plinth.llm.common import CACHE_WORDS, bounded_batches, materialize, utf8_column
 
-#: Tokens of a window, and how many of them must not be placeholders.
+#: Tokens of a window, and how many of a template's must not be placeholders.
 WINDOW, MIN_PLAIN = 8, 4
 #: Tokens of an item that an aligned, consistent match must cover; shorter items must be covered whole.
 MIN_RUN = 13
@@ -23,12 +23,13 @@ NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twe
 UNITS = "mm cm m km mg g kg lb lbs oz ml l mph kmh km/h s sec min mins minute minutes hour hours day days week weeks month months year years inch inches foot feet mile miles meter meters dollar dollars euro euros cent cents percent % $ € £ degrees".split()
 _NUMBER = re.compile(r"[$€£+\-(]*\d[\d.,:/\-]*(?:st|nd|rd|th|%|[a-z]{1,3})?\)?")
 _MARKS = ".,;:!?'\"()[]{}"
-#: The placeholder hashes come first, so a type is a number below 4.
+#: A type is the two low bits of a word's hash, 0 for plain words; a placeholder's hash is its type.
 NUM, UNIT, NAME = 1, 2, 3
+TYPE = np.uint64(3)
 
 
 class Canonical(dict):
-    """A word to the hash that it has in templates: its placeholder's number, or its lower-cased form's hash."""
+    """A word to 62 bits of its case-folded form's hash and, in the two low bits, its type."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:
@@ -42,7 +43,8 @@ class Canonical(dict):
         elif len(plain) > 1 and plain[0].isupper() and plain[1:].islower():
             value = NAME
         else:
-            value = max(4, xxhash.xxh64_intdigest(low))
+            value = 0
+        value |= max(4, xxhash.xxh64_intdigest(plain.casefold()) & ~3)
         self[word] = value
         return value
 
@@ -51,21 +53,23 @@ _CANONICAL = Canonical()
 
 
 def template(text: str) -> tuple[list[str], np.ndarray]:
-    """The words of a text and their canonical hashes."""
+    """The words of a text and their hashes with types."""
     words = text.split()
     return words, np.fromiter(map(_CANONICAL.__getitem__, words), np.uint64, len(words))
 
 
-def windows(tokens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows with enough plain tokens; a text shorter than width has none."""
+def windows(tokens: np.ndarray, width: int, literal: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows with enough plain tokens, as templates or as case-folded words; a text shorter than width has none."""
     n = len(tokens) - width + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.full(n, width, np.uint64)
+    kind = tokens & TYPE
+    hashes = tokens & ~TYPE if literal else np.where(kind > 0, kind, tokens)
+    h = np.full(n, width + 64 * literal, np.uint64)
     plain = np.zeros(n, np.int32)
     for j in range(width):
-        part = tokens[j : j + n]
-        plain += part >= 4
+        part = hashes[j : j + n]
+        plain += kind[j : j + n] == 0
         h ^= h >> np.uint64(31)
         h = (h + part) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
@@ -75,11 +79,14 @@ def windows(tokens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _slots(words: list[str], tokens: np.ndarray, start: int, width: int) -> list[str]:
     """type:value of each placeholder of a window."""
-    return [f"{t}:{words[start + j].strip(_MARKS).lower()}" for j, t in enumerate(tokens[start : start + width].tolist()) if t < 4]
+    return [f"{t}:{words[start + j].strip(_MARKS).lower()}" for j, t in enumerate((tokens[start : start + width] & TYPE).tolist()) if t]
 
 
-def _windowed(known, width: int):
-    """Rows (id, at, hash, slots, n) of a text's windows; known: a broadcast sorted array to skip by, or None."""
+def _windowed(known, width: int, of_items: bool):
+    """Rows (id, at, hash, slots, n) of a text's windows; known: a broadcast sorted array to skip by, or None.
+
+    A document's literal windows have no slots of their own: their values are those of the item that they meet.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -89,11 +96,12 @@ def _windowed(known, width: int):
             rows = []
             for key, raw in zip(batch.column(0).to_pylist(), utf8_column(batch, "text"), strict=True):
                 words, tokens = template((raw or b"").decode("utf-8", "replace"))
-                at, hashes = windows(tokens, width)
-                if known is not None and len(at):
-                    near = known.value[np.minimum(np.searchsorted(known.value, hashes), len(known.value) - 1)]
-                    at, hashes = at[near == hashes], hashes[near == hashes]
-                rows += [(key, p, h, _slots(words, tokens, p, width), len(words)) for p, h in zip(at.tolist(), hashes.tolist(), strict=True)]
+                for literal in (False, True):
+                    at, hashes = windows(tokens, width, literal)
+                    if known is not None and len(at):
+                        near = known.value[np.minimum(np.searchsorted(known.value, hashes), len(known.value) - 1)]
+                        at, hashes = at[near == hashes], hashes[near == hashes]
+                    rows += [(key, p, h, _slots(words, tokens, p, width) if of_items or not literal else None, len(words)) for p, h in zip(at.tolist(), hashes.tolist(), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["id", "at", "hash", "slots", "n"])
 
@@ -131,11 +139,17 @@ def _covered(places: list[tuple[int, list[str], list[str]]], n: int, width: int)
     return min(best, n)
 
 
+def _longest(places: list[tuple[int, list[str], list[str]]], n: int, width: int) -> int:
+    """The longer of the stretches of all windows and of those with equal slots, which no other window may break."""
+    return max(_covered(places, n, width), _covered([p for p in places if p[1] == p[2]], n, width))
+
+
 def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, min_run: int = MIN_RUN, max_filter: int = MAX_FILTER) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> (doc_id, item_id, covered, item_words) of contaminated pairs.
 
-    Windows of both sides meet in a join on the template's hash; rows of a document, item and offset, at most
-    an item's length, are then put in order and checked for consistent slots. Items shorter than a window are
+    Windows of both sides meet in a join on the hash of the template and on that of the case-folded words, so
+    copies are found whatever their case; rows of a document, item and offset, at most twice an item's length,
+    are then put in order and checked for consistent slots. Items shorter than a window are
     matched in windows of their own length, from 5 words; shorter ones are too common to tell. Null and empty
     texts match nothing. A document with repeated rows gives one result.
     """
@@ -147,7 +161,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, min_run: int
     found = None
     lengths = {width} | {r["n"] for r in items.select(F.size(F.split(F.trim(F.regexp_replace("text", "\\s+", " ")), " ")).alias("n")).where(F.col("n").between(5, width - 1)).distinct().collect()}
     for length in sorted(lengths):  # at most 4 lengths
-        of_items = items.mapInArrow(_windowed(None, length), form).dropDuplicates(["id", "at"])
+        of_items = items.mapInArrow(_windowed(None, length, True), form).dropDuplicates(["id", "at", "hash"])
         if length < width:
             of_items = of_items.where(F.col("n") == length)
         of_items = materialize(of_items, "windows")
@@ -157,9 +171,9 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, min_run: int
             if not len(hashes):
                 continue
             known = spark.sparkContext.broadcast(hashes)
-        of_docs = docs.mapInArrow(_windowed(known, length), form)
+        of_docs = docs.mapInArrow(_windowed(known, length, False), form)
         met = of_docs.alias("d").join(of_items.alias("i"), F.col("d.hash") == F.col("i.hash"))
-        met = met.select(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), (F.col("d.at") - F.col("i.at")).alias("shift"), F.col("i.n").alias("item_words"), F.struct(F.col("i.at"), F.col("i.slots").alias("ours"), F.col("d.slots").alias("theirs")).alias("w"))
+        met = met.select(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), (F.col("d.at") - F.col("i.at")).alias("shift"), F.col("i.n").alias("item_words"), F.struct(F.col("i.at"), F.col("i.slots").alias("ours"), F.coalesce("d.slots", "i.slots").alias("theirs")).alias("w"))
         found = met if found is None else found.unionByName(met)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("covered", T.IntegerType()), T.StructField("item_words", T.IntegerType())])
     if found is None:
@@ -170,7 +184,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, min_run: int
 
         for batch in batches:
             table = [batch.column(i).to_pylist() for i in range(4)]
-            covered = [_covered([(w["at"], w["ours"], w["theirs"]) for w in ws], n, min(width, n)) for n, ws in zip(table[2], table[3], strict=True)]
+            covered = [_longest([(w["at"], w["ours"], w["theirs"]) for w in ws], n, min(width, n)) for n, ws in zip(table[2], table[3], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(covered, pa.int32()), batch.column(2)], names=schema.names)
 
     aligned = found.groupBy("doc_id", "item_id", "shift", "item_words").agg(F.array_sort(F.collect_set("w")).alias("ws")).select("doc_id", "item_id", "item_words", "ws")

@@ -376,6 +376,20 @@ def test_reparameterised_items_are_found(spark):
     assert left.columns == docs.columns and {2, 3, 4, 5} <= {r.doc_id for r in left.collect()} <= {2, 3, 4, 5, 7}
 
 
+@pytest.mark.parametrize("change", [str.upper, str.lower])
+def test_recased_items_are_found(spark, change):
+    item = "The dog of Anna saw a cat. It ran away from there. Then the old man came home. Is the Straße near us?"
+    docs = spark.createDataFrame([(0, f"some other words {change(item)} and more", "en", "s", 0), (1, change("the dog of anna saw a cat it ran away"), "en", "s", 0)], SCHEMA)
+    items = spark.createDataFrame([(10, item)], "item_id long, text string")
+    for limit in (10**6, 0):
+        assert [(r.doc_id, r.item_id, r.covered) for r in decontamination.matches(docs, items, max_filter=limit).collect()] == [(0, 10, 23)]
+
+
+def test_a_changed_name_before_does_not_shorten_a_copy():
+    places = [(0, ["3:x"], ["3:y"]), *[(i, [], []) for i in range(1, 4)], *[(i, ["3:x"], ["3:x"]) for i in range(4, 7)]]
+    assert decontamination._longest(places, 14, 8) == 13
+
+
 def test_inconsistent_slots_break_a_match():
     good = [(0, ["3:a", "3:b"], ["3:x", "3:y"]), (1, ["3:b"], ["3:y"])]
     bad = [(0, ["3:a", "3:b"], ["3:x", "3:x"])]
