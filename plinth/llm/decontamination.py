@@ -59,7 +59,7 @@ def template(text: str) -> tuple[list[str], np.ndarray]:
 
 
 def windows(tokens: np.ndarray, width: int, literal: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows with enough plain tokens, as templates or as case-folded words; a text shorter than width has none."""
+    """Places and hashes of the windows: of all as case-folded words, of those with enough plain tokens as templates; a text shorter than width has none."""
     n = len(tokens) - width + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -73,7 +73,7 @@ def windows(tokens: np.ndarray, width: int, literal: bool = False) -> tuple[np.n
         h ^= h >> np.uint64(31)
         h = (h + part) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
-    at = np.flatnonzero(plain >= min(MIN_PLAIN, width))
+    at = np.flatnonzero(plain >= (0 if literal else min(MIN_PLAIN, width)))
     return at, h[at].view(np.int64)
 
 

@@ -376,7 +376,7 @@ def test_reparameterised_items_are_found(spark):
     assert left.columns == docs.columns and {2, 3, 4, 5} <= {r.doc_id for r in left.collect()} <= {2, 3, 4, 5, 7}
 
 
-@pytest.mark.parametrize("change", [str.upper, str.lower])
+@pytest.mark.parametrize("change", [str.upper, str.lower, str.title])
 def test_recased_items_are_found(spark, change):
     item = "The dog of Anna saw a cat. It ran away from there. Then the old man came home. Is the Straße near us?"
     docs = spark.createDataFrame([(0, f"some other words {change(item)} and more", "en", "s", 0), (1, change("the dog of anna saw a cat it ran away"), "en", "s", 0)], SCHEMA)
@@ -385,6 +385,14 @@ def test_recased_items_are_found(spark, change):
         assert [(r.doc_id, r.item_id, r.covered) for r in decontamination.matches(docs, items, max_filter=limit).collect()] == [(0, 10, 23)]
 
 
+def test_items_of_names_and_numbers_are_found(spark):
+    texts = ["Who wrote Romeo and Juliet in 1597?", "Anna Berg Paul Stein Mary Jones Tom Smith Eva Klein Max Gross", "12 + 7 = 19 and 30 - 4 = 26 or 5 * 5 = 25 so 8 / 2 = 4"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([*[(i, f"some words before {x} and some after", "en", "s", 0) for i, x in enumerate(texts)], (3, "Who wrote Emma and Persuasion in 1815? Tom Smith Eva Klein", "en", "s", 0)], SCHEMA)
+    for limit in (10**6, 0):
+        assert {(r.doc_id, r.item_id) for r in decontamination.matches(docs, items, max_filter=limit).collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_a_changed_name_before_does_not_shorten_a_copy():
     places = [(0, ["3:x"], ["3:y"]), *[(i, [], []) for i in range(1, 4)], *[(i, ["3:x"], ["3:x"]) for i in range(4, 7)]]
     assert decontamination._longest(places, 14, 8) == 13
