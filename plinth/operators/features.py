@@ -236,17 +236,28 @@ def datetime_parts(column: str) -> dict[str, Column]:
     return parts | {"days": F.datediff(c, F.lit("1970-01-01").cast("date"))}
 
 
-def tf_idf(df: DataFrame, key: str, text: str, most: int = 1000) -> DataFrame:
-    """(key, term, n, tfidf) of the most frequent terms, smoothed idf, not normalised; long format.
+def tf_idf(df: DataFrame, key: str, text: str, most: int = 1000, grams: tuple[int, int] = (1, 2), stop: list[str] | None = None) -> DataFrame:
+    """(key, term, n, tfidf) of the most frequent terms, smoothed idf, each key's values of l2 norm 1; long format.
 
-    Terms are runs of two or more letters, digits or underscores, lower-cased. The vocabulary is at most `most` rows.
+    Words are runs of two or more letters, digits or underscores, lower-cased, without stop words, Spark's English
+    ones unless given. Terms are runs of grams[0] to grams[1] words left. The vocabulary is at most `most` rows.
     """
-    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("(?U)\\b\\w\\w+\\b"), 0)).alias("term"))
-    counts = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
-    terms = counts.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(most)
+    from pyspark.ml.feature import StopWordsRemover
+
+    stop = StopWordsRemover.loadDefaultStopWords("english") if stop is None else stop
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("(?U)\\b\\w\\w+\\b"), 0)
+    words = df.select(key, F.filter(words, lambda w: ~w.isin(list(stop))).alias("_words"))
+    runs = lambda n: F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(1), F.size("_words") - n + 1), lambda i: F.array_join(F.slice("_words", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    found = words.select(key, F.explode(F.concat(*[F.col("_words") if n == 1 else runs(n) for n in range(grams[0], grams[1] + 1)])).alias("term"))
+    terms = found.groupBy("term").agg(F.count(F.lit(1)).alias("total")).orderBy(F.desc("total"), "term").limit(most).select("term")
+    terms = df.sparkSession.createDataFrame(terms.collect(), terms.schema)  # found is read again, so the choice is made once
+    counts = found.join(F.broadcast(terms), "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     docs = df.agg(F.count(F.lit(1)).alias("_docs"))
     idf = F.ln((1 + F.col("_docs")) / (1 + F.col("df"))) + 1
-    return counts.join(F.broadcast(terms), "term").join(F.broadcast(docs)).select(key, "term", "n", (F.col("n") * idf).alias("tfidf"))
+    raw = counts.join(F.broadcast(spread), "term").join(F.broadcast(docs)).select(key, "term", "n", (F.col("n") * idf).alias("_raw"))
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", "n", (F.col("_raw") / norm).alias("tfidf"))
 
 
 def unite(blocks: dict[str, Fitted], weights: dict[str, float] | None = None, when: dict[str, bool] | None = None) -> Fitted:

@@ -213,7 +213,7 @@ def _(t):
 
 @query("f28_tf_idf")
 def _(t):
-    return X.tf_idf(t.benchmark, "item_id", "text", 200).select("item_id", "term", "n", r("tfidf").alias("tfidf"))
+    return X.tf_idf(t.documents, "doc_id", "text").select("doc_id", "term", "n", r("tfidf").alias("tfidf"))
 
 
 @query("f28_text_counts", "SELECT doc_id, length(text) AS chars, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS INTEGER) AS words FROM documents")

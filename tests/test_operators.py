@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.operators import basket, features, quality, splits, stats, windows
 from plinth.operators.columns import select
+from plinth.plans import catalog
 
 
 def column(df, name):
@@ -103,3 +104,22 @@ def test_adjusted_and_recursive_means(spark):
     w = Window.orderBy("i")
     r = df.select(windows.exponential("x", w, 0.5).alias("a"), windows.exponential("x", w, 0.5, adjusted=False).alias("b")).collect()
     assert abs(r[2]["a"] - (3 + 1 + 0.25) / 1.75) < 1e-12 and [x["b"] for x in r] == [1.0, 1.5, 2.25]
+
+
+def test_tf_idf_has_pairs_stop_words_and_norm(spark):
+    df = spark.createDataFrame([(1, "The red cat"), (2, "red dog, red and cat"), (3, None)], "k long, t string")
+    got = {(r.k, r.term): (r.n, r.tfidf) for r in features.tf_idf(df, "k", "t").collect()}
+    assert {t for k, t in got if k == 2} == {"red", "dog", "cat", "red dog", "dog red", "red cat"} and {t for k, t in got if k == 1} == {"red", "cat", "red cat"}
+    a, b = math.log(4 / 3) + 1, math.log(4 / 2) + 1
+    norm = math.sqrt((2 * a) ** 2 + 2 * a * a + 3 * b * b)
+    assert got[2, "red"][0] == 2 and abs(got[2, "red"][1] - 2 * a / norm) < 1e-12 and abs(got[2, "dog red"][1] - b / norm) < 1e-12
+    assert abs(got[1, "cat"][1] - 1 / math.sqrt(3)) < 1e-12
+    assert {r.term for r in features.tf_idf(df, "k", "t", 1).collect()} == {"red"}
+
+
+def test_tf_idf_query_reads_documents(spark):
+    catalog.load()
+    out = catalog.QUERIES["f28_tf_idf"](spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "term", "n", "tfidf"] and out.select("term").distinct().count() == 1000
+    sums = out.groupBy("doc_id").agg(F.sum(F.col("tfidf") * F.col("tfidf")).alias("s"))
+    assert sums.where(F.abs(F.col("s") - 1) > 1e-3).count() == 0
