@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import materialize
+from plinth.llm.common import materialize, release
 
 #: Edges that one task contracts in memory at most.
 EDGES_PER_TASK = 500_000
@@ -47,15 +47,18 @@ def components(edges: DataFrame, per_task: int = EDGES_PER_TASK) -> DataFrame:
         parts = -(-n // per_task) or 1
         dealt = edges.repartition(parts) if parts == 1 else edges.repartition(parts, F.xxhash64("b"))
         stars = materialize(dealt.mapInArrow(_contract, "a long, b long").where("a != b"), "stars")
+        release(edges)
         if parts == 1:
             break
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.where("a != b").distinct(), "large")
+        release(stars)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         small = materialize(small.where("a != b").distinct(), "small")
+        release(large)
         loose = small.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
         chained = small.join(small.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
         edges = small

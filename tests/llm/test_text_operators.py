@@ -261,6 +261,38 @@ def test_near_copies_of_a_large_group(spark):
     assert got == {i: c for i, (_, c) in plain_groups(rows, 4, 85).items()}
 
 
+@pytest.mark.parametrize("held", [1024, 16])
+def test_texts_of_common_paragraphs_open_few_pairs(spark, held, monkeypatch):
+    rng = random.Random(8)
+    paragraphs = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(40)) for _ in range(12)]
+    rows = [(i, " ".join(rng.sample(paragraphs, 6)), "en", "s", 0) for i in range(150)]
+    rows += [(500 + i, rows[i][1] + f" more{i}", "en", "s", 0) for i in range(20)]
+    opened, write = [], ngram_join.materialize
+
+    def counted(df, tag="t"):
+        out = write(df, tag)
+        if tag == "open":
+            opened.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    monkeypatch.setattr(ngram_join, "HELD_ROWS", held)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_groups(spark.createDataFrame(rows, SCHEMA), 5, 80).collect()}
+    assert got == plain_groups(rows, 5, 80)
+    assert sum(opened) <= len(rows)
+
+
+def test_bit_maps_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n, m = rng.integers(1, 400, 2)
+        pool = rng.integers(0, 1 << 63, 600).astype(np.uint64)
+        u, v = np.unique(rng.choice(pool, n)), np.unique(rng.choice(pool, m))
+        between = len(u) + len(v) - 2 * len(np.intersect1d(u, v))
+        assert ngram_join.apart([ngram_join.parities(u)], [ngram_join.parities(v)])[0] <= between
+    assert ngram_join.most_apart(100, 100, 80) == 22
+
+
 def test_keep_first_keeps_one_of_each_group(docs, rows):
     left = sorted(r.doc_id for r in ngram_join.keep_first(docs, 5, 80).collect())
     assert left == [i for i, (_, c) in sorted(plain_groups(rows, 5, 80).items()) if i == c]
