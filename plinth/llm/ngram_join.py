@@ -7,6 +7,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plinth.llm.common import HASHES, bounded_batches, gathered, lower_words, materialize, release, shuffle_width, utf8_column
 from plinth.llm.graph import components
@@ -20,8 +21,10 @@ BLOCK = 32
 SALT_ABOVE = 50_000
 #: Rows of a list that a task holds while the list's other rows pass by.
 HELD_ROWS = 1024
-#: Shingles of a group of candidates that a task verifies at a place; larger groups are dealt over several.
-PLACE_SHINGLES = 2_000_000
+#: Candidates in other groups that a set tries, round by round; None: all that are left.
+TRIES = (2, 8, 32, 128, 512, None)
+#: Shingles and pairs of a group of candidates that a task verifies at a place; larger groups are dealt over several.
+PLACE_SHINGLES, PLACE_PAIRS = 2_000_000, 20_000
 #: Bits of the filters of documents; they only save work, and are at most 16 MB.
 LEAST_BITS, MOST_BITS = 20, 27
 
@@ -369,7 +372,9 @@ def _answers(docs: DataFrame, pairs: DataFrame, described: DataFrame, k: int, pe
     groups = components(near)
     docs_of = near.select(F.col("a").alias("doc"), "n").unionByName(near.select(F.col("b").alias("doc"), F.col("m").alias("n"))).distinct()
     weights = docs_of.join(groups.toDF("doc", "comp"), "doc").groupBy("comp").agg(F.ceil(F.sum("n") / PLACE_SHINGLES).alias("parts"))
-    dealt = near.join(groups.toDF("b", "comp"), "b").join(weights, "comp").select("a", "b", "comp", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    named = near.join(groups.toDF("b", "comp"), "b")
+    crowds = named.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / PLACE_PAIRS).alias("crowds"))
+    dealt = named.join(weights, "comp").join(crowds, "comp").select("a", "b", "comp", F.pmod(F.xxhash64("b"), F.greatest("parts", "crowds")).alias("part"))
     dealt = materialize(dealt, "dealt")
     places = dealt.select("comp", "part", F.explode(F.array("a", "b")).alias("doc")).distinct()
     marked = Marked(docs_of.select("doc"))
@@ -386,21 +391,34 @@ def _answers(docs: DataFrame, pairs: DataFrame, described: DataFrame, k: int, pe
     return out
 
 
-def _open(percent: int, block: int):
-    """Rows of lists by (token, place): those held (kind 0), then all (kind 1) -> candidate pairs, or links (sure).
+def _open(percent: int, block: int, cap: int | None):
+    """Rows of lists by (token, place): those held (kind 0), then all (kind 1) -> candidates (held, other, near, more).
 
     A pair counts when its sets are in different groups. The held rows stand in blocks by size and position;
     a block whose best position leaves too few shingles for a passing row is skipped whole. What is known of
     both sets' distances to their common leader then gives the pair's answer where it can: the distances' sum
-    bounds the pair's own from above, their difference from below. Bit maps decide the most of the rest.
+    bounds the pair's own from above (near -1: a link), their difference from below. Bit maps decide the most
+    of the rest. A held set gives its `cap` nearest candidates, and says if there are more.
     """
 
     def run(batches):
         import pyarrow as pa
 
+        def nearest(found):
+            """Columns held, other, near, more with the nearest `cap` of each held set, each once."""
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+            at = np.lexsort((columns[1], columns[2], columns[0]))
+            held, other, near, more = (c[at] for c in columns)
+            new = np.concatenate([[True], (held[1:] != held[:-1]) | (other[1:] != other[:-1])])
+            held, other, near, more = held[new], other[new], near[new], np.maximum.reduceat(more, np.flatnonzero(new))
+            start = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+            size = np.diff(np.append(start, len(held)))
+            rank = np.arange(len(held)) - np.repeat(start, size)
+            more = np.repeat(np.maximum.reduceat(more | (rank >= cap), start), size)
+            return [c[rank < cap] for c in (held, other, near, more)]
+
         def emit(found):
-            a, b, sure = (np.concatenate(c) for c in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], names=["a", "b", "sure"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["held", "other", "near", "more"])
 
         def order(held):
             at = np.lexsort((held["p"], held["n"]))
@@ -432,9 +450,10 @@ def _open(percent: int, block: int):
                 return
             x, y, same = {c: v[good] for c, v in x.items()}, {c: v[good] for c, v in y.items()}, same[good]
             sure = same & (x["high"] >= 0) & (y["high"] >= 0) & (x["high"] + y["high"] <= limit)
-            near = apart([rows["map"][a] for a in i.tolist()], [held["map"][b] for b in j.tolist()]) <= limit
+            far = apart([rows["map"][a] for a in i.tolist()], [held["map"][b] for b in j.tolist()])
+            near = far <= limit
             if near.any():
-                yield x["doc"][near], y["doc"][near], sure[near]
+                yield y["doc"][near], x["doc"][near], np.where(sure, -1, far)[near], np.zeros(near.sum(), bool)
 
         key, waiting, held, found = None, [], None, []
         names = ("doc", "n", "p", "g", "leader", "low", "high", "top")
@@ -457,11 +476,14 @@ def _open(percent: int, block: int):
                 if held is not None:
                     for part in range(0, end - at, 256):
                         found.extend(meet(held, {c: v[part : part + 256] for c, v in rows.items()}))
-            if sum(len(f[0]) for f in found) > 5000:
-                yield emit(found)
-                found = []
+            if sum(len(f[0]) for f in found) > 200_000:
+                if cap:
+                    found = [nearest(found)]
+                if not cap or len(found[0][0]) > 100_000:
+                    yield emit(found)
+                    found = []
         if found:
-            yield emit(found)
+            yield emit([nearest(found)] if cap else found)
 
     return run
 
@@ -523,41 +545,55 @@ def _candidates(docs: DataFrame, k: int, percent: int, sketch, marked: Marked, s
 
 
 def _links(docs: DataFrame, described: DataFrame, walked: DataFrame, k: int, percent: int, made: list) -> DataFrame:
-    """The links that decide the groups, (a, b): those of short lists and leaders, then those between groups."""
-    spark = docs.sparkSession
+    """The links that decide the groups, (a, b): those of short lists and leaders, then those between groups.
+
+    One link between two groups is enough, so each set first tries its nearest candidates in other groups, then,
+    where groups are still apart, more of them, at last all.
+    """
     pairs = materialize(walked.where("kind = 0").select("a", "b").distinct(), "pairs")
     answers = _answers(docs, pairs, described, k, percent)
-    made += [pairs, answers]
-    links = answers.where("linked").select("a", "b")
-    groups = components(links)
-
-    longer = walked.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("doc"), "leader", "n", "p")
-    known = longer.join(groups.toDF("doc", "g"), "doc", "left").withColumn("g", F.coalesce("g", "doc"))
-    known = materialize(known, "known")
+    longer = materialize(walked.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("doc"), "leader", "n", "p"), "longer")
+    made += [pairs, answers, longer]
+    for cap in TRIES:
+        links = answers.where("linked").select("a", "b")
+        met = _between(longer, answers, components(links), described, percent, cap)
+        made.append(met)
+        rest = met.where("near >= 0").select(F.least("held", "other").alias("a"), F.greatest("held", "other").alias("b")).distinct()
+        rest = materialize(rest.join(answers.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+        sure = met.where("near < 0").select(F.least("held", "other").alias("a"), F.greatest("held", "other").alias("b"), "near", F.lit(None).cast("long"), F.lit(True))
+        more = _answers(docs, rest, described, k, percent) if rest.limit(1).count() else rest.selectExpr("a", "b", "0L", "0L", "false")
+        made += [rest, more] if hasattr(more, "_written_to") else [rest]
+        answers = answers.unionAll(more).unionAll(sure.distinct())
+        if not met.where("more").limit(1).count():
+            break
+    return answers.where("linked").select("a", "b")
+
+
+def _between(longer: DataFrame, answers: DataFrame, groups: DataFrame, described: DataFrame, percent: int, cap: int | None) -> DataFrame:
+    """Candidates between different groups of a long list: (held, other, near, more), at most cap for each held set."""
+    spark = longer.sparkSession
+    known = materialize(longer.join(groups.toDF("doc", "g"), "doc", "left").withColumn("g", F.coalesce("g", "doc")), "known")
     counts = known.groupBy("token", "g").agg(F.count(F.lit(1)).alias("c"))
     lists = counts.groupBy("token").agg(F.max(F.struct("c", "g")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    lists = materialize(lists.select("token", F.col("top.g").alias("top"), F.ceil((F.col("all") - F.col("top.c")) / HELD_ROWS).cast("int").alias("places")), "lists")
-    if not lists.limit(1).count():
-        return links
+    lists = lists.select("token", F.col("top.g").alias("best"), F.ceil((F.col("all") - F.col("top.c")) / HELD_ROWS).cast("int").alias("places"))
     mixed = known.join(lists, "token").withColumn("a", F.least("leader", "doc")).withColumn("b", F.greatest("leader", "doc"))
     of_leader = F.col("doc") == F.col("leader")
-    mixed = mixed.join(answers.select("a", "b", "low", "high"), ["a", "b"], "left").join(described.select(F.col("doc_id").alias("doc"), "map"), "doc")
+    bounds = answers.where("low >= 0").groupBy("a", "b").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    mixed = mixed.join(bounds, ["a", "b"], "left").join(described.select(F.col("doc_id").alias("doc"), "map"), "doc")
     low, high = F.when(of_leader, 0).otherwise(F.coalesce("low", F.lit(0))), F.when(of_leader, 0).otherwise(F.coalesce("high", F.lit(-1)))
-    columns = ["doc", "n", "p", "g", "leader", low.cast("long").alias("low"), high.cast("long").alias("high"), (F.col("g") == F.col("top")).alias("top"), "map"]
+    columns = ["doc", "n", "p", "g", "leader", low.cast("long").alias("low"), high.cast("long").alias("high"), (F.col("g") == F.col("best")).alias("top"), "map"]
     mixed = materialize(mixed.select("token", "places", *columns), "mixed")
     held = mixed.where("NOT top").select("token", F.pmod(F.xxhash64("doc"), "places").cast("int").alias("place"), F.lit(0).alias("kind"), *mixed.columns[2:])
     passing = mixed.select("token", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(1).alias("kind"), *mixed.columns[2:])
     dealt = held.unionByName(passing).repartition(shuffle_width(spark), "token", "place").sortWithinPartitions("token", "place", "kind")
-    met = materialize(dealt.mapInArrow(_open(percent, BLOCK), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), "open")
-    release(known, mixed, lists)
-    rest = materialize(met.where("NOT sure").select("a", "b").join(pairs, ["a", "b"], "left_anti"), "rest")
-    made += [met, rest]
-    links = links.unionByName(met.where("sure").select("a", "b"))
-    if rest.limit(1).count():
-        more = _answers(docs, rest, described, k, percent)
-        made.append(more)
-        links = links.unionByName(more.where("linked").select("a", "b"))
-    return links
+    met = dealt.mapInArrow(_open(percent, BLOCK, cap), "held long, other long, near long, more boolean")
+    met = met.groupBy("held", "other").agg(F.min("near").alias("near"), F.max("more").alias("more"))
+    if cap:
+        of_set = Window.partitionBy("held")
+        met = met.withColumn("more", F.max("more").over(of_set) | (F.count(F.lit(1)).over(of_set) > cap)).withColumn("_rank", F.row_number().over(of_set.orderBy("near", "other"))).where(F.col("_rank") <= cap).drop("_rank")
+    met = materialize(met, "open")
+    release(known, mixed)
+    return met
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
