@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plinth.operators.order import quantiles
+
 _KINDS = {"number": T.NumericType, "string": T.StringType, "datetime": (T.TimestampType, T.TimestampNTZType, T.DateType), "bool": T.BooleanType}
 
 
@@ -36,9 +38,9 @@ def flags(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
 
 
 def quantile_flag(df: DataFrame, column: str, p: float, out: str) -> DataFrame:
-    """1 where the column is over its exact quantile; the quantile is one number, joined as a one-row table."""
-    edge = df.agg(F.percentile(column, F.lit(p)).alias("_edge"))
-    return df.join(F.broadcast(edge)).withColumn(out, F.when(F.col(column) > F.col("_edge"), 1).otherwise(0)).drop("_edge")
+    """1 where the column is over its exact quantile."""
+    (edge,) = quantiles(df, {column: [p]})[column]
+    return df.withColumn(out, F.when(F.col(column) > F.lit(edge), 1).otherwise(0))
 
 
 def weighted(*parts: tuple[Column, float]) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plinth.operators.order import quantiles
+
 
 @dataclass
 class Fitted:
@@ -39,14 +41,14 @@ def minmax(df: DataFrame, columns: list[str]) -> Fitted:
 
 def robust(df: DataFrame, columns: list[str]) -> Fitted:
     """(x - median) / (q75 - q25), exact quantiles."""
-    s = _one(df, {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in columns})
+    s = quantiles(df, dict.fromkeys(columns, [0.25, 0.5, 0.75]))
     return Fitted({c: (F.col(c) - F.lit(s[c][1])) / F.lit((s[c][2] - s[c][0]) or 1.0) for c in columns})
 
 
 def quantile_uniform(df: DataFrame, columns: list[str], steps: int = 100) -> Fitted:
     """Place of a value among fitted quantiles, interpolated, 0 to 1."""
     grid = [i / steps for i in range(steps + 1)]
-    s = _one(df, {c: F.percentile(c, F.array(*map(F.lit, grid))) for c in columns})
+    s = quantiles(df, dict.fromkeys(columns, grid))
 
     def place(c: str) -> Column:
         edges = F.array(*map(F.lit, s[c]))
@@ -60,7 +62,7 @@ def quantile_uniform(df: DataFrame, columns: list[str], steps: int = 100) -> Fit
 
 def choose_scaler(df: DataFrame, columns: list[str]) -> dict[str, str]:
     """Per column: robust over 10 % outliers, none within [0, 1], quantile with |skew| > 2, else standard."""
-    q = _one(df, {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) for c in columns})
+    q = quantiles(df, dict.fromkeys(columns, [0.25, 0.75]))
     out = {}
     tests = {}
     for c in columns:
@@ -94,8 +96,15 @@ def unit_rows(columns: list[str]) -> Fitted:
     return Fitted({c: F.coalesce(F.try_divide(F.col(c), norm), F.lit(0.0)) for c in columns})
 
 
+#: Distinct values that a column may have to be encoded value by value; more raise an error.
+MAX_VALUES = 10_000
+
+
 def _values(df: DataFrame, column: str) -> list:
-    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_VALUES + 1).collect()
+    if len(found) > MAX_VALUES:
+        raise ValueError(f"{column} has more than {MAX_VALUES} values; use target, frequency or hash encoding")
+    return sorted(r[0] for r in found)
 
 
 def one_hot(df: DataFrame, column: str, drop_first: bool = False) -> Fitted:
@@ -121,6 +130,14 @@ def target_encode(df: DataFrame, codes: DataFrame, column: str, unseen: float =
     return df.join(codes, column, "left").withColumn("code", F.coalesce("code", F.lit(unseen)))
 
 
+def target_encode_folds(df: DataFrame, fold: str, column: str, y: str, unseen: float = 0.0) -> DataFrame:
+    """df with code: the mean of y over rows of the same value in all other folds, so no row sees its own y."""
+    parts = df.groupBy(fold, column).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
+    every = Window.partitionBy(column)
+    codes = parts.select(fold, column, F.try_divide(F.sum("_s").over(every) - F.col("_s"), F.sum("_n").over(every) - F.col("_n")).alias("code"))
+    return df.join(codes, [fold, column], "left").withColumn("code", F.coalesce("code", F.lit(unseen)))
+
+
 def frequency(df: DataFrame, column: str) -> DataFrame:
     """(value, count), to be joined."""
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("frequency"))
@@ -147,7 +164,7 @@ def equal_width(df: DataFrame, column: str, bins: int, out: str) -> Fitted:
 
 def quantile_bins(df: DataFrame, column: str, bins: int, out: str) -> Fitted:
     """Bins 1..n by exact quantile edges, right-closed, the lowest edge included; repeated edges make one."""
-    edges = _one(df, {"q": F.percentile(column, F.array(*[F.lit(i / bins) for i in range(1, bins)]))})["q"]
+    edges = quantiles(df, {column: [i / bins for i in range(1, bins)]})[column]
     over = [F.when(F.col(column) > e, 1).otherwise(0) for e in sorted(set(edges))]
     return Fitted({out: (sum(over[1:], over[0]) + 1).cast("long")})
 
@@ -278,7 +295,7 @@ def impute_numbers(df: DataFrame, columns: list[str], how: str = "mean", value:
     if how == "mean":
         s = _one(df, {c: F.avg(c) for c in columns})
     elif how == "median":
-        s = _one(df, {c: F.percentile(c, F.lit(0.5)) for c in columns})
+        s = {c: q[0] for c, q in quantiles(df, dict.fromkeys(columns, [0.5])).items()}
     elif how == "constant":
         s = dict.fromkeys(columns, value)
     elif how == "most_frequent":
@@ -315,5 +332,5 @@ def zscore_outlier(df: DataFrame, columns: list[str], over: float = 3.0) -> Colu
 
 
 def iqr_fences(df: DataFrame, columns: list[str], times: float = 1.5) -> dict[str, tuple[float, float]]:
-    q = _one(df, {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) for c in columns})
+    q = quantiles(df, dict.fromkeys(columns, [0.25, 0.75]))
     return {c: (a - times * (b - a), b + times * (b - a)) for c, (a, b) in q.items()}

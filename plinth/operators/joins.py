@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plinth.sources.tables import durable
+
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, take: dict[str, str], strict: bool = False) -> DataFrame:
     """left with the columns `take` (new name: right column) of the last right row at or before its time.
@@ -35,9 +37,12 @@ def pareto_front(df: DataFrame, most: str, least: str) -> DataFrame:
     """Rows that no other beats in both columns (larger `most`, smaller `least`), ties kept.
 
     A row survives when its `least` is below every smaller one seen at a larger `most`. Only the best `least`
-    of each distinct `most` is compared, so the window runs over distinct values and not over rows.
+    of each distinct `most` is compared, range by range, so no task orders the whole table.
     """
-    best = df.groupBy(most).agg(F.min(least).alias("_best"))
-    ahead = Window.orderBy(F.desc(most)).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("_ahead", F.min("_best").over(ahead)).where("_ahead IS NULL OR _best < _ahead")
+    best = durable(df.groupBy(most).agg(F.min(least).alias("_best")).repartitionByRange(F.desc(most)).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = best.groupBy("_part").agg(F.min("_best").alias("_low")).select("_part", F.min("_low").over(before).alias("_before"))
+    ahead = Window.partitionBy("_part").orderBy(F.desc(most)).rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("_inside", F.min("_best").over(ahead)).join(F.broadcast(ranges), "_part").withColumn("_ahead", F.least("_inside", "_before"))
+    front = best.where("_ahead IS NULL OR _best < _ahead").select(most, "_best")
     return df.join(front, most).where(F.col(least) == F.col("_best")).select(*df.columns)

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plinth.operators import order
+from plinth.operators.order import numbered, tile
+
 
 def hash_split(df: DataFrame, keys: list[str], test: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, test) by a hash of the key: no shuffle, and a key keeps its side when the table grows."""
@@ -29,9 +32,8 @@ def should_stratify(df: DataFrame, label: str) -> bool:
 def chronological(df: DataFrame, time: str, train: float, valid: float) -> DataFrame:
     """Adds part: train, valid or test by exact quantiles of the time."""
     seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
-    edges = df.agg(F.percentile(seconds, F.lit(train)).alias("_a"), F.percentile(seconds, F.lit(train + valid)).alias("_b"))
-    part = F.when(seconds <= F.col("_a"), "train").when(seconds <= F.col("_b"), "valid").otherwise("test")
-    return df.join(F.broadcast(edges)).withColumn("part", part).drop("_a", "_b")
+    a, b = order.quantiles(df.select(seconds.alias("s")), {"s": [train, train + valid]})["s"]
+    return df.withColumn("part", F.when(seconds <= F.lit(a), "train").when(seconds <= F.lit(b), "valid").otherwise("test"))
 
 
 def modulo_folds(df: DataFrame, key: str, folds: int) -> DataFrame:
@@ -43,9 +45,10 @@ def hash_folds(df: DataFrame, keys: list[str], folds: int, seed: int = 42) -> Da
     return df.withColumn("fold", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(folds)).cast("long"))
 
 
-def expanding_folds(df: DataFrame, order: list[str], folds: int) -> DataFrame:
+def expanding_folds(df: DataFrame, by: list[str], folds: int) -> DataFrame:
     """Sizes of expanding folds: fold f trains on the first f of folds+1 equal parts and tests on the next."""
-    part = df.select(F.ntile(folds + 1).over(Window.orderBy(*order)).alias("b"))
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    part = numbered(df.select(*by), by, "_i").join(F.broadcast(n)).select(tile(F.col("_i"), F.col("_n"), folds + 1).alias("b"))
     sizes = part.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
     listed = F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold")
     return sizes.select("b", "c", listed).groupBy(F.col("fold").cast("long").alias("fold")).agg(F.sum(F.when(F.col("b") <= F.col("fold"), F.col("c")).otherwise(0)).alias("train"), F.sum(F.when(F.col("b") == F.col("fold") + 1, F.col("c")).otherwise(0)).alias("test"))

@@ -7,26 +7,29 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plinth.operators import order
+
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """Count and percentage of each value; the total comes from the counts, not from another scan."""
     from pyspark.sql.window import Window
 
+
     g = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("pct", 100 * F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
 def quantiles(df: DataFrame, column: str, ps: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation, a row each."""
-    one = df.agg(F.percentile(column, F.array(*map(F.lit, ps))).alias("v"))
-    return one.select(F.explode(F.arrays_zip(F.array(*map(F.lit, ps)).alias("p"), "v")).alias("z")).select(F.col("z")["p"].alias("p"), F.col("z")["v"].alias("v"))
+    found = order.quantiles(df, {column: ps})[column]
+    return df.sparkSession.createDataFrame(list(zip(map(float, ps), found, strict=True)), "p double, v double")
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """n, mean, sample std, min, quartiles, max of each column in one pass, a row each."""
-    rows = []
+    """n, mean, sample std, min, quartiles, max of each column a row each."""
+    rows, found = [], order.quantiles(df, dict.fromkeys(columns, [0.25, 0.5, 0.75]))
     for c in columns:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = [F.lit(x).cast("double") for x in found[c]]
         cells = [F.lit(c).alias("column_name"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("low"), *[q[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))], F.max(c).cast("double").alias("high")]
         rows.append(F.struct(*cells))
     return df.agg(F.array(*rows).alias("_all")).select(F.inline("_all"))

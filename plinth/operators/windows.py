@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from plinth.operators.order import numbered, tile
+
 
 def rolling(fn, column, w: WindowSpec, size: int, full: bool = True, shift: int = 0) -> Column:
     """fn over the last `size` rows (before the last `shift`); null until the frame is full, unless full is False."""
@@ -31,7 +35,8 @@ def slope(column: str, w: WindowSpec, size: int) -> Column:
 
 def exponential(column: str, w: WindowSpec, alpha: float, adjusted: bool = True) -> Column:
     """Exponential mean up to the current row: weights (1-alpha)^i normalised, or the recursion from the first value."""
-    values = F.collect_list(F.col(column)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    far = math.ceil(math.log(1e-18) / math.log(1 - alpha))  # rows further back weigh less than a double can tell
+    values = F.collect_list(F.col(column)).over(w.rowsBetween(-far, 0))
     if adjusted:
         start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))
         step = lambda a, x: F.struct((a["s"] * (1 - alpha) + x).alias("s"), (a["n"] * (1 - alpha) + 1).alias("n"))
@@ -58,29 +63,41 @@ def rfm(df: DataFrame, customer: str, day: str, amount: str, order: str) -> Data
     last = df.agg(F.max(day).alias("_last"))
     g = df.groupBy(customer).agg(F.max(day).alias("_d"), F.count(F.lit(1)).alias("frequency"), F.sum(amount).alias("monetary"))
     g = g.join(F.broadcast(last)).withColumn("recency", F.datediff("_last", "_d").cast("long")).drop("_last", "_d")
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    r = lambda *by: F.row_number().over(Window.orderBy(*by))
-    return g.withColumns({"r_score": rank_bucket(r(F.desc("recency"), customer), n, 5), "f_score": rank_bucket(r("frequency", customer), n, 5), "m_score": rank_bucket(r("monetary", customer), n, 5)})
+    for out, by in (("r_score", F.desc("recency")), ("f_score", F.asc("frequency")), ("m_score", F.asc("monetary"))):
+        g = numbered(g, [by, F.asc(customer)], out)
+    n = F.lit(g.count())
+    return g.withColumns({c: rank_bucket(F.col(c), n, 5) for c in ("r_score", "f_score", "m_score")})
 
 
 def rfm_segment() -> Column:
-    """Names of customer segments from r_score, f_score and m_score."""
+    """Names of customer segments from r_score, f_score and m_score, the first rule that holds."""
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     return (
-        F.when((r >= 4) & (f >= 4) & (m >= 4), "champions")
-        .when((r >= 3) & (f >= 4), "loyal")
-        .when((r >= 4) & (f <= 2), "new")
-        .when((r >= 3) & (f >= 2), "potential")
-        .when((r <= 2) & (f >= 4), "at_risk")
-        .when((r <= 2) & (f >= 2), "needs_attention")
-        .when((r <= 2) & (m >= 4), "cannot_lose")
-        .otherwise("lost")
+        F.when((r >= 4) & (f >= 4) & (m >= 4), "Champions")
+        .when((r >= 3) & (f >= 3) & (m >= 3), "Loyal Customers")
+        .when((r >= 4) & (f <= 2), "New Customers")
+        .when((r >= 3) & (f >= 3) & (m <= 2), "Potential Loyalists")
+        .when((r <= 2) & (f >= 3) & (m >= 3), "At Risk")
+        .when((r <= 2) & (f <= 2) & (m >= 3), "Cannot Lose Them")
+        .when((r <= 2) & (f <= 2) & (m <= 2), "Hibernating")
+        .otherwise("Others")
     )
 
 
+def rfm_code() -> Column:
+    """The three scores as one string, like 543."""
+    return F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")])
+
+
+def rfm_weighted(recency: float = 0.3, frequency: float = 0.3, monetary: float = 0.4) -> Column:
+    return F.col("r_score") * recency + F.col("f_score") * frequency + F.col("m_score") * monetary
+
+
 def deciles(df: DataFrame, score: str, label: str, tie: str) -> DataFrame:
     """Lift and gain by score decile, the highest scores in decile 1."""
-    marked = df.select(label, F.ntile(10).over(Window.orderBy(F.desc(score), tie)).alias("decile"))
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    placed = numbered(df.select(label, score, tie), [F.desc(score), F.asc(tie)], "_i").join(F.broadcast(n))
+    marked = placed.select(label, tile(F.col("_i"), F.col("_n"), 10).alias("decile"))
     g = marked.groupBy(F.col("decile").cast("long").alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("positives"))
     every = Window.partitionBy()
     so_far = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)

@@ -131,10 +131,10 @@ def _(t):
     return X.label(t.documents, "source", "code").transform(t.documents).select("doc_id", F.col("code").cast("long").alias("code"))
 
 
-@query("f10_target_encode", "WITH m AS (SELECT o_orderpriority, avg(o_totalprice) AS code FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1) SELECT o_orderkey, round(coalesce(code, 0), 4) AS code FROM orders LEFT JOIN m USING (o_orderpriority) WHERE o_orderkey % 5 = 0")
+@query("f10_target_encode", "WITH m AS (SELECT f, o_orderpriority, avg(o_totalprice) AS code FROM orders, range(5) v(f) WHERE o_orderkey % 5 <> f GROUP BY 1, 2) SELECT o_orderkey, round(coalesce(code, 0), 4) AS code FROM orders LEFT JOIN m ON m.f = o_orderkey % 5 AND m.o_orderpriority = orders.o_orderpriority")
 def _(t):
-    codes = X.target(t.orders.where("o_orderkey % 5 <> 0"), "o_orderpriority", "o_totalprice")
-    return X.target_encode(t.orders.where("o_orderkey % 5 = 0"), codes, "o_orderpriority").select("o_orderkey", r("code", 4).alias("code"))
+    folded = t.orders.withColumn("fold", F.col("o_orderkey") % 5)
+    return X.target_encode_folds(folded, "fold", "o_orderpriority", "o_totalprice").select("o_orderkey", r("code", 4).alias("code"))
 
 
 @query("f11_smoothed_target_encode", "WITH g AS (SELECT avg(o_totalprice) AS g FROM orders), m AS (SELECT o_custkey, (sum(o_totalprice) + 10 * max(g)) / (count(*) + 10) AS code FROM orders, g GROUP BY 1) SELECT o_orderkey, round(code, 4) AS code FROM orders JOIN m USING (o_custkey)")

@@ -169,8 +169,8 @@ RFM = """
 WITH g AS (SELECT o_custkey, date_diff('day', CAST(max(o_orderdate) AS DATE), (SELECT CAST(max(o_orderdate) AS DATE) FROM orders)) AS recency, count(*) AS frequency, sum(o_totalprice) AS monetary FROM orders GROUP BY 1),
 s AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY recency DESC, o_custkey) AS a, row_number() OVER (ORDER BY frequency, o_custkey) AS b, row_number() OVER (ORDER BY monetary, o_custkey) AS c FROM g),
 q AS (SELECT *, CAST(greatest(1, ceil((a - 1) * 5 / (n - 1))) AS BIGINT) AS r_score, CAST(greatest(1, ceil((b - 1) * 5 / (n - 1))) AS BIGINT) AS f_score, CAST(greatest(1, ceil((c - 1) * 5 / (n - 1))) AS BIGINT) AS m_score FROM s),
-z AS (SELECT *, CASE WHEN r_score >= 4 AND f_score >= 4 AND m_score >= 4 THEN 'champions' WHEN r_score >= 3 AND f_score >= 4 THEN 'loyal' WHEN r_score >= 4 AND f_score <= 2 THEN 'new' WHEN r_score >= 3 AND f_score >= 2 THEN 'potential'
- WHEN r_score <= 2 AND f_score >= 4 THEN 'at_risk' WHEN r_score <= 2 AND f_score >= 2 THEN 'needs_attention' WHEN r_score <= 2 AND m_score >= 4 THEN 'cannot_lose' ELSE 'lost' END AS segment FROM q) """
+z AS (SELECT *, CASE WHEN r_score >= 4 AND f_score >= 4 AND m_score >= 4 THEN 'Champions' WHEN r_score >= 3 AND f_score >= 3 AND m_score >= 3 THEN 'Loyal Customers' WHEN r_score >= 4 AND f_score <= 2 THEN 'New Customers' WHEN r_score >= 3 AND f_score >= 3 AND m_score <= 2 THEN 'Potential Loyalists'
+ WHEN r_score <= 2 AND f_score >= 3 AND m_score >= 3 THEN 'At Risk' WHEN r_score <= 2 AND f_score <= 2 AND m_score >= 3 THEN 'Cannot Lose Them' WHEN r_score <= 2 AND f_score <= 2 AND m_score <= 2 THEN 'Hibernating' ELSE 'Others' END AS segment FROM q) """
 
 
 @query("w23_rfm_scores", RFM + "SELECT o_custkey, recency, frequency, r_score, f_score, m_score, segment FROM z")
@@ -179,6 +179,12 @@ def _(t):
     return s.select("o_custkey", "recency", "frequency", "r_score", "f_score", "m_score", W.rfm_segment().alias("segment"))
 
 
+@query("b04_rfm_segments", RFM + "SELECT o_custkey, CAST(r_score AS VARCHAR) || CAST(f_score AS VARCHAR) || CAST(m_score AS VARCHAR) AS code, round(r_score * 0.3 + f_score * 0.3 + m_score * 0.4, 6) AS weighted, segment FROM z")
+def _(t):
+    s = W.rfm(t.orders.withColumn("day", F.to_date("o_orderdate")), "o_custkey", "day", "o_totalprice", "o_orderkey")
+    return s.select("o_custkey", W.rfm_code().alias("code"), r(W.rfm_weighted(), 6).alias("weighted"), W.rfm_segment().alias("segment"))
+
+
 @query("b05_segment_profile", RFM + "SELECT segment, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct, round(avg(recency), 4) AS recency, round(sum(monetary) / sum(sum(monetary)) OVER (), 6) AS revenue_share, round(avg(monetary / frequency) * (365 / greatest(avg(recency), 30)) * 2, 2) AS clv FROM z GROUP BY 1")
 def _(t):
     s = W.rfm(t.orders.withColumn("day", F.to_date("o_orderdate")), "o_custkey", "day", "o_totalprice", "o_orderkey").withColumn("segment", W.rfm_segment())
