@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from plinth.plans import aggregates, evaluation, features, learning, more, profiling, relational, scenarios, series  # noqa: F401
+    from plinth.plans import aggregates, evaluation, extended, features, learning, more, profiling, relational, scenarios, series  # noqa: F401
