@@ -15,6 +15,10 @@ from pyspark.sql.window import Window
 BATCH_ROWS = 500
 #: Entries after which a worker forgets its word cache.
 CACHE_WORDS = 400_000
+#: Bits of the filters of ids; they only save work, and are at most 16 MB, sent in so many slices.
+LEAST_BITS, MOST_BITS, SLICES = 20, 27, 64
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -125,3 +129,53 @@ def gathered(batches, rows: int):
             held, n = [], 0
     if n:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _marks(ids: np.ndarray, bits: int) -> np.ndarray:
+    return ((ids.view(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _mark(bits: int):
+    """The ids of a task as bits set, in slices."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        flags = np.zeros(1 << bits, bool)
+        for batch in batches:
+            flags[_marks(batch.column(0).to_numpy(zero_copy_only=False), bits)] = True
+        for i, part in enumerate(np.packbits(flags).reshape(SLICES, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "bits"])
+
+    return run
+
+
+def _or_slices(batches):
+    import pyarrow as pa
+
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            part = np.frombuffer(raw, np.uint8)
+            total[i] = total[i] | part if i in total else part
+    for i, part in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "bits"])
+
+
+class Marked:
+    """A filter of 64-bit ids or hashes for tasks: all that were marked pass, and a few others may."""
+
+    def __init__(self, ids: DataFrame):
+        spark = ids.sparkSession
+        self.bits = min(MOST_BITS, max(LEAST_BITS, (16 * ids.count()).bit_length()))
+        marks = ids.mapInArrow(_mark(self.bits), "slice int, bits binary").repartition(SLICES, "slice").mapInArrow(_or_slices, "slice int, bits binary")
+        flags = np.zeros((SLICES, (1 << self.bits) // 8 // SLICES), np.uint8)
+        for row in marks.collect():  # 64 rows, 16 MB at most
+            flags[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+        self.flags = spark.sparkContext.broadcast(flags.ravel())
+
+    def passed(self, ids: np.ndarray) -> np.ndarray:
+        """Places of the ids that pass."""
+        at = _marks(ids, self.bits)
+        return np.flatnonzero((self.flags.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)

@@ -6,20 +6,22 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plinth.llm.common import CACHE_WORDS, bounded_batches, materialize, utf8_column
+from plinth.llm.common import CACHE_WORDS, Marked, bounded_batches, materialize, utf8_column
 
 #: Tokens of a window, and how many of a template's must not be placeholders.
 WINDOW, MIN_PLAIN = 8, 4
 #: Tokens of an item that an aligned, consistent match must cover; shorter items must be covered whole.
 MIN_RUN = 13
-#: Window hashes that are sent to all tasks to skip windows early; with more, every window is joined.
+#: Items of fewer words are matched literally only; as templates they would be too common to tell.
+MIN_TEMPLATE = 5
+#: Window hashes that are sent to all tasks to skip windows early; with more, a filter of fixed size is sent.
 MAX_FILTER = 2_000_000
 #: Number words and units that become placeholders.
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion".split()
 UNITS = "mm cm m km mg g kg lb lbs oz ml l mph kmh km/h s sec min mins minute minutes hour hours day days week weeks month months year years inch inches foot feet mile miles meter meters dollar dollars euro euros cent cents percent % $ € £ degrees".split()
 _NUMBER = re.compile(r"[$€£+\-(]*\d[\d.,:/\-]*(?:st|nd|rd|th|%|[a-z]{1,3})?\)?")
 _MARKS = ".,;:!?'\"()[]{}"
@@ -83,7 +85,7 @@ def _slots(words: list[str], tokens: np.ndarray, start: int, width: int) -> list
 
 
 def _windowed(known, width: int, of_items: bool):
-    """Rows (id, at, hash, slots, n) of a text's windows; known: a broadcast sorted array to skip by, or None.
+    """Rows (id, at, hash, slots, n) of a text's windows; known: what window hashes may match, or None for all.
 
     A document's literal windows have no slots of their own: their values are those of the item that they meet.
     """
@@ -96,11 +98,11 @@ def _windowed(known, width: int, of_items: bool):
             rows = []
             for key, raw in zip(batch.column(0).to_pylist(), utf8_column(batch, "text"), strict=True):
                 words, tokens = template((raw or b"").decode("utf-8", "replace"))
-                for literal in (False, True):
+                for literal in (True,) if width < MIN_TEMPLATE else (False, True):
                     at, hashes = windows(tokens, width, literal)
                     if known is not None and len(at):
-                        near = known.value[np.minimum(np.searchsorted(known.value, hashes), len(known.value) - 1)]
-                        at, hashes = at[near == hashes], hashes[near == hashes]
+                        near = known.passed(hashes)
+                        at, hashes = at[near], hashes[near]
                     rows += [(key, p, h, _slots(words, tokens, p, width) if of_items or not literal else None, len(words)) for p, h in zip(at.tolist(), hashes.tolist(), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["id", "at", "hash", "slots", "n"])
@@ -108,6 +110,25 @@ def _windowed(known, width: int, of_items: bool):
     return run
 
 
+class Known:
+    """The window hashes of items, for tasks, up to MAX_FILTER of them; the interface of Marked."""
+
+    def __init__(self, spark, hashes: np.ndarray):
+        self.hashes = spark.sparkContext.broadcast(np.sort(hashes))
+
+    def passed(self, hashes: np.ndarray) -> np.ndarray:
+        known = self.hashes.value
+        return np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
+
+
+def _count_words(batches):
+    """(n): the words of each text, cut as everywhere here."""
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([len((raw or b"").decode("utf-8", "replace").split()) for raw in utf8_column(batch, "text")], pa.int32())], names=["n"])
+
+
 def _covered(places: list[tuple[int, list[str], list[str]]], n: int, width: int) -> int:
     """The longest stretch of an item that aligned windows cover while each slot value keeps one counterpart.
 
@@ -150,8 +171,8 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, min_run: int
     Windows of both sides meet in a join on the hash of the template and on that of the case-folded words, so
     copies are found whatever their case; rows of a document, item and offset, at most twice an item's length,
     are then put in order and checked for consistent slots. Items shorter than a window are
-    matched in windows of their own length, from 5 words; shorter ones are too common to tell. Null and empty
-    texts match nothing. A document with repeated rows gives one result.
+    matched in windows of their own length, those under MIN_TEMPLATE words literally. Null and empty texts match
+    nothing. A document with repeated rows gives one result; rows without a doc_id are one document here.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -159,18 +180,17 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, min_run: int
     items = items.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     form = "id long, at int, hash long, slots array<string>, n int"
     found = None
-    lengths = {width} | {r["n"] for r in items.select(F.size(F.split(F.trim(F.regexp_replace("text", "\\s+", " ")), " ")).alias("n")).where(F.col("n").between(5, width - 1)).distinct().collect()}
-    for length in sorted(lengths):  # at most 4 lengths
+    lengths = {width} | {r["n"] for r in items.select("text").mapInArrow(_count_words, "n int").where(F.col("n").between(1, width - 1)).distinct().collect()}
+    for length in sorted(lengths):  # at most `width` lengths
         of_items = items.mapInArrow(_windowed(None, length, True), form).dropDuplicates(["id", "at", "hash"])
         if length < width:
             of_items = of_items.where(F.col("n") == length)
         of_items = materialize(of_items, "windows")
-        known = None
-        if of_items.count() <= max_filter:
-            hashes = np.array(sorted(r["hash"] for r in of_items.select("hash").distinct().collect()), dtype=np.int64)
-            if not len(hashes):
-                continue
-            known = spark.sparkContext.broadcast(hashes)
+        count = of_items.count()
+        if not count:
+            continue
+        distinct = of_items.select("hash").distinct()
+        known = Known(spark, np.array([r["hash"] for r in distinct.collect()], np.int64)) if count <= max_filter else Marked(distinct)
         of_docs = docs.mapInArrow(_windowed(known, length, False), form)
         met = of_docs.alias("d").join(of_items.alias("i"), F.col("d.hash") == F.col("i.hash"))
         met = met.select(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), (F.col("d.at") - F.col("i.at")).alias("shift"), F.col("i.n").alias("item_words"), F.struct(F.col("i.at"), F.col("i.slots").alias("ours"), F.coalesce("d.slots", "i.slots").alias("theirs")).alias("w"))
@@ -193,16 +213,25 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, min_run: int
     return hit.groupBy("doc_id", "item_id", "item_words").agg(F.max("covered").alias("covered")).select(*schema.names)
 
 
+def _own_key() -> Column:
+    """What tells rows apart when doc_id is null or repeated: a hash of the id and the text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without a contaminated pair, with their own columns."""
-    bad = materialize(matches(docs, items).select(F.col("doc_id")).distinct(), "leaks")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without a contaminated pair, with their own columns.
+
+    Each row is judged by its own text, also where doc_id is null or repeated.
+    """
+    bad = matches(docs.select(_own_key().alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_leak")).distinct()
+    bad = materialize(bad, "leaks")
+    return docs.join(bad, _own_key() == F.col("_leak"), "left_anti").select(*docs.columns)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     """A row for each document: the items that it holds, and whether it is contaminated."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    pairs = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    per_doc = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("covered").alias("covered"))
-    out = docs.select("doc_id").join(per_doc, "doc_id", "left")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", _own_key().alias("_key"))
+    pairs = matches(docs.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    per_doc = pairs.groupBy(F.col("doc_id").alias("_key")).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("covered").alias("covered"))
+    out = docs.select("doc_id", "_key").join(per_doc, "_key", "left")
     return out.select("doc_id", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("covered", F.lit(0)).alias("covered"), F.col("covered").isNotNull().alias("contaminated"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,11 +15,11 @@ from plinth.llm.common import bounded_batches, gathered, utf8_column
 VOCABULARY = "piece_bpe_32k.model"
 #: Weight of a character that no piece has, and counts added to each piece.
 UNKNOWN, SMOOTHING = 1e-7, 0.05
-#: Characters of a longer word that training looks at together; scoring always takes words whole.
-CHUNK = 60
+#: Characters from which sums of training are kept as logarithms, and from which a word is scored by itself.
+SHORT_WORD, LONG_WORD = 60, 400
 #: Words whose scores, and (language, word) pairs whose counts, a worker holds.
 HELD_WORDS, HELD_PAIRS = 150_000, 300_000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 class Pieces:
@@ -92,6 +92,8 @@ def pieces(name: str = VOCABULARY) -> Pieces:
 def forward(grid: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """grid [word, end, length-1], weights [piece + 1, language] -> log of the sum over segmentations [word, language]."""
     count, ends, longest = grid.shape
+    if count == 1 and ends > LONG_WORD:
+        return _forward_one(grid[0], weights)
     languages = weights.shape[1]
     alpha = np.zeros((ends, count, languages))
     alpha[0] = 1.0
@@ -111,25 +113,51 @@ def forward(grid: np.ndarray, weights: np.ndarray) -> np.ndarray:
         return np.log(alpha[-1]) + scale
 
 
+def _forward_one(grid: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The same for one long word, [end, length-1], with all pieces of an end at once."""
+    ends, longest = grid.shape
+    recent = np.zeros((longest, weights.shape[1]))  # row k - 1: the sum up to k characters back
+    recent[0] = 1.0
+    scale = np.zeros(weights.shape[1])
+    for j in range(1, ends):
+        has = np.flatnonzero(grid[j, : min(j, longest)] >= 0)
+        new = (recent[has] * weights[grid[j, has]]).sum(axis=0)
+        recent[1:] = recent[:-1]
+        recent[0] = new
+        if (new < 1e-150).any():
+            top = recent.max(axis=0)
+            recent /= np.where(top > 0, top, 1)
+            scale += np.log(np.where(top > 0, top, 1))
+    with np.errstate(divide="ignore"):
+        return (np.log(recent[0]) + scale)[None]
+
+
 def expected(grid: np.ndarray, weights: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected uses of pieces over all segmentations, by forward and backward sums: (numbers, amounts)."""
+    """Expected uses of pieces over all segmentations, by forward and backward sums: (numbers, amounts).
+
+    The sums of longer words are kept as logarithms, so words of any length are looked at whole.
+    """
     count, ends, longest = grid.shape
-    alpha, beta = np.zeros((ends, count)), np.zeros((ends, count))
-    alpha[0] = beta[-1] = 1.0
+    logs = ends > SHORT_WORD
+    nothing, one = (-np.inf, 0.0) if logs else (0.0, 1.0)
+    plus, mul = (np.logaddexp, np.add) if logs else (np.add, np.multiply)
+    alpha, beta = np.full((ends, count), nothing), np.full((ends, count), nothing)
+    alpha[0] = beta[-1] = one
     spans = []  # end, length, the words with a piece there, its number and its weight
     for j in range(1, ends):
         for k in range(1, min(j, longest) + 1):
             has = np.flatnonzero(grid[:, j, k - 1] >= 0)
             if len(has):
                 numbers = grid[has, j, k - 1]
-                spans.append((j, k, has, numbers, weights[numbers]))
-                alpha[j, has] += alpha[j - k, has] * spans[-1][4]
-    share = times / np.maximum(alpha[-1], 1e-300)
+                p = np.log(weights[numbers]) if logs else weights[numbers]
+                spans.append((j, k, has, numbers, p))
+                alpha[j, has] = plus(alpha[j, has], mul(alpha[j - k, has], p))
     amounts = []
     for j, k, has, _, p in reversed(spans):
         # all spans that start at j come before in this order, so beta[j] is whole
-        amounts.append(alpha[j - k, has] * p * beta[j, has] * share[has])
-        beta[j - k, has] += beta[j, has] * p
+        use = mul(mul(alpha[j - k, has], p), beta[j, has])
+        amounts.append(np.exp(use - alpha[-1, has]) * times[has] if logs else use / np.maximum(alpha[-1, has], 1e-300) * times[has])
+        beta[j - k, has] = plus(beta[j - k, has], mul(beta[j, has], p))
     return np.concatenate([s[3] for s in reversed(spans)]), np.concatenate(amounts)
 
 
@@ -171,14 +199,12 @@ def _expect(name: str):
         for batch in gathered(batches, 40_000):
             groups: dict[tuple[str, int], list[tuple[str, int]]] = {}
             for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                whole = "▁" + word
-                for at in range(0, len(whole), CHUNK):
-                    part = whole[at : at + CHUNK]
-                    groups.setdefault((lang, len(part)), []).append((part, n))
+                groups.setdefault((lang, len(word) + 1), []).append(("▁" + word, n))
             for (lang, n), listed in groups.items():
                 sums = total.setdefault(lang, np.zeros(vocabulary.size + 1))
-                for at in range(0, len(listed), 4000):
-                    words, times = zip(*listed[at : at + 4000], strict=True)
+                step = max(1, min(4000, 2_000_000 // n))
+                for at in range(0, len(listed), step):
+                    words, times = zip(*listed[at : at + step], strict=True)
                     numbers, amounts = expected(vocabulary.grid(list(words), n), base, np.array(times, float))
                     sums += np.bincount(numbers, weights=amounts, minlength=len(sums))
         for lang, sums in total.items():
@@ -257,7 +283,11 @@ def train(docs: DataFrame, name: str = VOCABULARY) -> LanguageModels:
 
 
 def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
-    """docs with lang_pred and score; columns of these names are replaced. Null texts are `und`. Row by row."""
+    """docs with lang_pred and score; columns of these names are replaced. Row by row.
+
+    Null texts and texts without a letter (Unicode category L) are `und`; equal scores go to the first language by
+    name; repeated rows and rows with a null doc_id get their result like others.
+    """
     import pyarrow as pa
 
     bounded_batches(docs.sparkSession)

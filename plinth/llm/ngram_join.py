@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plinth.llm.common import HASHES, bounded_batches, gathered, lower_words, materialize, release, shuffle_width, utf8_column
+from plinth.llm.common import HASHES, SLICES, Marked, bounded_batches, gathered, lower_words, materialize, release, shuffle_width, utf8_column
 from plinth.llm.graph import components
 
 #: Rows and columns of the frequency sketch, a fixed 8 MB; it only orders shingles, so it cannot lose a link.
 SKETCH_ROWS, SKETCH_BITS = 2, 20
-SLICES = 64
 #: Sets in a block of an index list. Lists of one block are compared within; longer ones by relation first.
 BLOCK = 32
 #: Lists of shingles seen more often than this are dealt over places of about so many rows.
@@ -25,9 +24,6 @@ HELD_ROWS = 1024
 TRIES = (2, 8, 32, 128, 512, None)
 #: Shingles and pairs of a group of candidates that a task verifies at a place; larger groups are dealt over several.
 PLACE_SHINGLES, PLACE_PAIRS = 2_000_000, 20_000
-#: Bits of the filters of documents; they only save work, and are at most 16 MB.
-LEAST_BITS, MOST_BITS = 20, 27
-
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,56 +146,6 @@ def _add_slices(batches):
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([raw], pa.binary())], names=["slice", "counts"])
 
 
-def _marks(ids: np.ndarray, bits: int) -> np.ndarray:
-    return ((ids.view(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _mark(bits: int):
-    """The ids of a task as bits set, in slices."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        flags = np.zeros(1 << bits, bool)
-        for batch in batches:
-            flags[_marks(batch.column(0).to_numpy(zero_copy_only=False), bits)] = True
-        for i, part in enumerate(np.packbits(flags).reshape(SLICES, -1)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "bits"])
-
-    return run
-
-
-def _or_slices(batches):
-    import pyarrow as pa
-
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(raw, np.uint8)
-            total[i] = total[i] | part if i in total else part
-    for i, part in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "bits"])
-
-
-class Marked:
-    """A filter of document ids for tasks: all that were marked pass, and a few others may."""
-
-    def __init__(self, ids: DataFrame):
-        spark = ids.sparkSession
-        self.bits = min(MOST_BITS, max(LEAST_BITS, (16 * ids.count()).bit_length()))
-        marks = ids.mapInArrow(_mark(self.bits), "slice int, bits binary").repartition(SLICES, "slice").mapInArrow(_or_slices, "slice int, bits binary")
-        flags = np.zeros((SLICES, (1 << self.bits) // 8 // SLICES), np.uint8)
-        for row in marks.collect():  # 64 rows, 16 MB at most
-            flags[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
-        self.flags = spark.sparkContext.broadcast(flags.ravel())
-
-    def passed(self, ids: np.ndarray) -> np.ndarray:
-        """Places of the ids that pass."""
-        at = _marks(ids, self.bits)
-        return np.flatnonzero((self.flags.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
-
-
 def _picked(batch, at: np.ndarray) -> list[bytes | None]:
     """The texts at some places of a batch (id, text)."""
     import pyarrow as pa

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plinth.llm.common import gapless, materialize, shuffle_width
+from plinth.llm.common import gapless, materialize
 
 #: Partial partitions that one place combines at most; more are combined in levels.
 FAN_IN = 4096
@@ -80,13 +80,13 @@ def _levels(shards: int):
 def assign_groups(groups: DataFrame, shards: int = 16) -> DataFrame:
     """groups (key, bytes), keys distinct -> (key, shard): shards of near equal bytes, each key whole.
 
-    Keys are dealt to hash buckets, each bucket is differenced by itself into one partial partition of
+    Keys are dealt to hash buckets of about FAN_IN keys, so their number grows with the keys; each bucket is differenced by itself into one partial partition of
     `shards` sums, and those partial partitions are differenced again, level by level with at most
     FAN_IN at a place, so neither a task nor the driver holds more than a bucket. An empty input gives
     an empty result.
     """
     spark = groups.sparkSession
-    width = shuffle_width(spark)
+    width = max(1, -(-groups.count() // FAN_IN))
     dealt = groups.withColumn("part", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(width)).cast("long"))
     leaf = materialize(dealt.groupBy("part").applyInPandas(_leaves(shards), "key string, bytes long, part long, subset int"), "kk")
     steps = []

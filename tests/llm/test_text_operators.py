@@ -168,6 +168,16 @@ def test_differencing_balances_and_keeps_parts():
     assert max(sums) - min(sums) <= 2
 
 
+def test_shards_of_more_groups_than_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FAN_IN", 8)
+    rng = random.Random(2)
+    groups = spark.createDataFrame([(f"k{i}", rng.randint(1, 2000)) for i in range(700)], "key string, bytes long")
+    load = collections.Counter()
+    for r in sharding.assign_groups(groups, 4).join(groups, "key").collect():
+        load[r.shard] += r.bytes
+    assert sum(load.values()) == groups.agg(F.sum("bytes")).first()[0] and max(load.values()) - min(load.values()) < 500
+
+
 @pytest.mark.parametrize("fan_in", [4096, 2])
 def test_shards(docs, rows, fan_in, monkeypatch):
     monkeypatch.setattr(sharding, "FAN_IN", fan_in)
@@ -341,9 +351,75 @@ def test_quotations_are_linked_and_cut(spark):
     assert got[1, 4].own_text == "" and got[2, 2].own_text == ""
 
 
+def test_passages_of_other_conversations(spark):
+    line = "This is a passage that more than one conversation has."
+    said = [
+        (1, 0, "user", f"> {line}\nAnyone?"), (1, 1, "assistant", line), (2, 0, "user", line), (3, 0, "user", "> yes\nReally?"), (4, 0, "user", "yes"), (5, 0, "user", "yes"), (5, 1, "assistant", "> yes\nGood."),
+        (5, 2, "user", "Something else."), (5, 3, "user", "> Good.\nThanks."), (2, 0, "user", line), (None, 0, "user", f"> {line}\nNo id."), (6, None, "user", "no turn"),
+    ]
+    table = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumn("position", F.lit("x"))
+    placed = chat.threads(table)
+    rows = placed.collect()
+    got = {(r.conv_id, r.turn): r for r in rows}
+    assert len(rows) == len(said)
+    assert (got[1, 0].parent_conv, got[1, 0].parent_turn) == (2, 0) and got[3, 0].parent_conv is None
+    assert (got[5, 1].parent_conv, got[5, 1].parent_turn) == (5, 0)
+    assert [r.turn for r in sorted((r for r in rows if r.conv_id == 5), key=lambda r: r.position)] == [0, 1, 3, 2]
+    assert sorted(r.position for r in rows if r.conv_id == 2) == [0, 1] and got[None, 0].position is None
+    talk = {(r.conv_id, r.block): r.messages for r in chat.assemble(placed, 2).collect()}
+    assert [m.text for m in talk[5, 0]] == ["yes", "Good."] and [m.text for m in talk[5, 1]] == ["Thanks.", "Something else."]
+
+
+def test_planted_quotations_match_sql(spark):
+    import duckdb
+
+    rng = random.Random(3)
+    said, lines = [], []
+    for conv in range(12):
+        for turn in range(rng.randint(2, 7)):
+            own = " ".join(rng.choices("alpha beta gamma delta epsilon zeta eta theta".split(), k=rng.randint(1, 7)))
+            quote = "".join(f"> {x}\n" for x in rng.sample(lines, min(len(lines), rng.randint(0, 2))))
+            said.append((conv, turn, rng.choice(["user", "assistant"]), quote + own))
+            lines.append(own)
+    conversations = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    got = chat.threads(conversations).toPandas()
+    con = duckdb.connect()
+    con.register("conversations", conversations.toPandas())
+    want = con.execute(chat.OP6_SQL).df()
+    assert (got.parent_conv.notna()).sum() > 10
+    key = ["conv_id", "turn"]
+    got, want = got.sort_values(key, ignore_index=True), want[got.columns].sort_values(key, ignore_index=True)
+    for c in got:
+        assert (got[c].fillna(-1).astype(str).str.replace(".0", "") == want[c].fillna(-1).astype(str).str.replace(".0", "")).all(), c
+
+
+def test_very_long_messages(spark):
+    text = "\n".join(("> " if i % 2 else "") + f"line {i} with some words" for i in range(20_000))
+    row = chat.threads(spark.createDataFrame([(1, 0, "user", text), (1, 1, "user", "> line 0 with some words\nyes")], "conv_id long, turn long, role string, text string")).where("turn = 0").first()
+    assert row.n_quoted == 10_000 and row.own_text.count("\n\n") == 9_999
+
+
 # language identification
 
 
+def test_long_words_are_learned_whole():
+    vocabulary = langid.pieces()
+    base = np.array([32.0 ** len(p) / vocabulary.size for p in vocabulary.number] + [1e-7])
+    lengths = np.array([len(p) for p in vocabulary.number] + [1])
+    word = "▁" + "nationality" * 90
+    numbers, amounts = langid.expected(vocabulary.grid([word], len(word)), base, np.array([2.0]))
+    assert abs((lengths[numbers] * amounts).sum() - 2 * len(word)) < 1e-6 * len(word)
+    grid = vocabulary.grid([word], len(word))
+    weights = np.random.default_rng(2).random((vocabulary.size + 1, 2)) * 1e-4
+    assert np.allclose(langid._forward_one(grid[0], weights), langid.forward(np.concatenate([grid, grid]), weights)[0])
+
+
+def test_numbers_of_other_categories_are_no_letters(spark):
+    docs = spark.createDataFrame([(0, "la casa verde", "es", "s", 0), (1, "the green house", "en", "s", 0), (2, "½ ² ① Ⅷ", "es", "s", 0), (3, "x" * 200_000, None, "s", 0), (None, "the green house", None, "s", 0), (1, "the green house", "en", "s", 0)], SCHEMA)
+    got = [(r.doc_id, r.lang_pred) for r in langid.identify(docs, langid.train(docs.where("doc_id < 2"))).collect()]
+    assert (2, "und") in got and (None, "en") in got and got.count((1, "en")) == 2 and len(got) == 6
+
+
 def test_forward_sums_all_segmentations():
     vocabulary = langid.pieces()
     rng = np.random.default_rng(1)
@@ -436,6 +512,55 @@ def test_inconsistent_slots_break_a_match():
     assert decontamination._covered(good, 9, 8) == 9 and decontamination._covered(bad, 9, 8) == 0
 
 
+def test_short_items_and_other_spaces(spark):
+    items = spark.createDataFrame([(1, "blue key"), (2, "where is\u00a0the old key"), (3, "it weighs twelve kg and costs sixty dollars in all today")], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "a Blue key here", "en", "s", 0), (1, "so where is the old key now", "en", "s", 0), (2, "and it weighs fifteen kg and costs ninety dollars in all today ok", "en", "s", 0), (3, "blue old keys", "en", "s", 0), (None, "a blue key", "en", "s", 0), (None, "clean", "en", "s", 0), (0, "clean too", "en", "s", 0), (4, "blue key " * 50_000, "en", "s", 0)], SCHEMA)
+    for limit in (10**6, 0):
+        got = {(r.doc_id, r.item_id) for r in decontamination.matches(docs, items, max_filter=limit).collect()}
+        assert got == {(0, 1), (1, 2), (2, 3), (None, 1), (4, 1)}
+    left = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in decontamination.drop_contaminated(docs.withColumn("item_id", F.lit(1)), items).collect())
+    assert left == [(-1, "clean"), (0, "clean too"), (3, "blue old keys")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_matches_are_those_of_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = [a + b for a in "ka lo mi ne".split() for b in "ra se vo".split()]
+    name, number = (lambda: rng.choice(["Anna", "Boris", "Clara", "David"])), (lambda: str(rng.randint(1, 99)))
+    fill = lambda shape: [w if w not in "NM" else name() if w == "N" else number() for w in shape]
+    shapes = [[rng.choice(words) if rng.random() < 0.8 else rng.choice("NM") for _ in range(rng.randint(8, 20))] for _ in range(8)]
+    items = [(i, " ".join(fill(s))) for i, s in enumerate(shapes)]
+    rows = []
+    for d in range(40):
+        shape = rng.choice(shapes)
+        at = rng.randint(0, 3)
+        rows.append((d, " ".join(rng.choices(words, k=20) + fill(shape)[at : at + rng.randint(6, 20)] + rng.choices(words, k=20)), "en", "s", 0))
+
+    def plain(doc, item):
+        """Longest covered stretch over all offsets, each window compared directly."""
+        dw, iw = doc.split(), item.split()
+        kind = lambda w: 3 if w[0].isupper() else 1 if w.isdigit() else 0
+        best = 0
+        for shift in range(-len(iw), len(dw)):
+            for literal in (False, True):
+                places = []
+                for at in range(len(iw) - 7):
+                    x, y = iw[at : at + 8], dw[at + shift : at + shift + 8] if at + shift >= 0 else []
+                    if len(y) < 8:
+                        continue
+                    same = [a.lower() for a in x] == [b.lower() for b in y]
+                    alike = sum(kind(a) == 0 for a in x) >= 4 and all(kind(a) == kind(b) and (kind(a) or a == b) for a, b in zip(x, y, strict=True))
+                    if same or (alike and not literal):
+                        slots = lambda w: [f"{kind(a)}:{a.lower()}" for a in w if kind(a)]
+                        places.append((at, slots(x), slots(y)))
+                best = max(best, decontamination._covered(places, len(iw), 8))
+        return best
+
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i) for d, text, *_ in rows for i, item in items if plain(text, item) >= min(13, len(item.split()))}
+    assert got == want and want
+
+
 # toxicity
 
 
