@@ -646,7 +646,8 @@ def test_table_counts_follow_the_exact_posterior():
     rng = np.random.default_rng(1)
     c = np.full(3000, 6)
     word, room = np.arange(3000), np.zeros(3000, int)
-    t = s.sweep(word, room, c, np.ones(3000, int), rng)
+    draw = lambda cells, k: rng.random(len(cells))
+    t = s.sweep(word, room, c, np.ones(3000, int), draw)
     table = lm_scoring.stirling(10, d)
     weight, total = [], theta_tables.sum()
     for k in range(1, 7):
@@ -657,7 +658,35 @@ def test_table_counts_follow_the_exact_posterior():
     p = np.exp(np.array(weight) - max(weight))
     p /= p.sum()
     assert np.allclose(np.bincount(t, minlength=7)[1:] / 3000, p, atol=0.04)
-    assert (s.sweep(word[:5], room[:5], np.full(5, 5000), np.ones(5, int), rng) >= 1).all()
+    assert (s.sweep(word[:5], room[:5], np.full(5, 5000), np.ones(5, int), draw) >= 1).all()
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_scores_do_not_depend_on_partitions(spark, docs, parts):
+    held = F.col("doc_id") % 10 == 0
+    want = {r.doc_id: r.score for r in lm_scoring.score_texts(docs, held).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.doc_id: r.score for r in lm_scoring.score_texts(docs.repartition(parts), held).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(abs(got[i] - want[i]) < 1e-4 * max(1, abs(want[i])) for i in want)
+
+
+def test_large_dishes_open_as_many_tables_as_single_seating():
+    tables = np.full(lm_scoring.CONTEXTS, 40.0)
+    s = lm_scoring.Seating(0.6, 0.4, tables)
+    rng = np.random.default_rng(5)
+    n, c = 400, 3000
+    cells = np.arange(n)
+    draw = lambda at, k: rng.random(len(at))
+    got = s._seat_many(cells, cells, np.zeros(n, int), np.full(n, c), np.ones(n, int), np.full(n, 3.0), draw)
+    opened = np.ones(n)
+    for seated in range(1, c):
+        new = (lm_scoring.THETA + 0.6 * (39 + opened)) * (2 + opened - 0.4) / (lm_scoring.THETA_ROOT + tables.sum())
+        opened += rng.random(n) * (new + seated - 0.6 * opened) < new
+    assert abs(got.mean() - opened.mean()) < 4 * opened.std() / np.sqrt(n) + 0.02 * opened.mean()
 
 
 def test_stirling_numbers():
