@@ -1,6 +1,8 @@
-"""Neighbour and density operators against a bounded reference sample, and isolation forests.
+"""Exact nearest neighbours, densities and imputation over all rows, grid clusters, and isolation forests.
 
-The reference rows are a hash sample of at most `limit` rows, a documented bound; every row is scored.
+Neighbours are sought in cells of a tree of cuts. Its cuts follow a bounded sample; all rows are in its cells and
+each search ends only where no other cell can hold a nearer row. Isolation forests and `k_distances` see a hash
+sample of rows, as their methods have it.
 """
 
 from __future__ import annotations
@@ -12,8 +14,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+#: Rows that `k_distances` compares.
 LIMIT = 2000
+#: Rows that the cuts of the cells are taken from, rows wanted in a cell, and the fewest rows of the sample in one.
+CUT_ROWS, CELL_ROWS, LEAST_ROWS = 262_144, 1000, 16
 
 
 def reference(df: DataFrame, keys: list[str], columns: list[str], limit: int = LIMIT, seed: int = 42) -> np.ndarray:
@@ -36,27 +42,146 @@ def _with(df: DataFrame, columns: list[str], out: str, kind: str, f) -> DataFram
     return df.mapInPandas(run, schema)
 
 
-def knn_impute(df: DataFrame, keys: list[str], columns: list[str], k: int = 5, limit: int = LIMIT) -> DataFrame:
-    """Nulls become the mean of the k reference rows nearest in the columns present, distances scaled up for absent ones."""
-    donors = reference(df, keys, columns, limit)
-    shared = df.sparkSession.sparkContext.broadcast(donors)
-    schema = ", ".join(f"`{s.name}` {'double' if s.name in columns else s.dataType.simpleString()}" for s in df.schema)
+class Cells:
+    """Boxes that cover the space, cut where a sample is halved."""
 
-    def run(batches):
-        y = shared.value
+    def __init__(self, sample: np.ndarray, wanted: int):
+        self.count = 0
+        self.root = self._grow(sample, wanted)
+
+    def _grow(self, x: np.ndarray, wanted: int):
+        if wanted > 1 and len(x) >= 2 * LEAST_ROWS:
+            j = int(np.argmax(np.ptp(x, axis=0)))
+            cut = float(np.median(x[:, j]))
+            left = x[:, j] < cut
+            if left.any():
+                return j, cut, self._grow(x[left], wanted // 2), self._grow(x[~left], wanted - wanted // 2)
+        self.count += 1
+        return self.count - 1
+
+    def reached(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell): the cells that a ball around each row meets; with radius 0 the one cell of the row."""
+        rows, cells = [], []
+
+        def walk(node, at):
+            if not len(at):
+                return
+            if not isinstance(node, tuple):
+                rows.append(at)
+                cells.append(np.full(len(at), node))
+                return
+            j, cut, left, right = node
+            walk(left, at[x[at, j] - radius[at] < cut])
+            walk(right, at[x[at, j] + radius[at] >= cut])
+
+        walk(self.root, np.arange(len(x)))
+        return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.empty(0, int), np.empty(0, int))
+
+
+def _closest(q: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, n: np.ndarray, k: int, same: bool):
+    """Of each row of q the points of y that hold its k nearest rows, all of the last distance: blocks of (row, point, d, n, k-th d)."""
+    step = max(1, 1_000_000 // max(1, len(y)))
+    for at in range(0, len(q), step):
+        x = q[at : at + step]
+        d = sum((x[:, j, None] - y[None, :, j]) ** 2 for j in range(q.shape[1]))
+        rows = np.broadcast_to(n, d.shape).copy()
+        if same:
+            rows -= own[at : at + step, None] == ids[None, :]
+        order = np.argsort(d, axis=1, kind="stable")
+        near, upto = np.take_along_axis(d, order, 1), np.cumsum(np.take_along_axis(rows, order, 1), axis=1)
+        last = np.full(len(x), np.inf)
+        full = upto[:, -1] >= k if len(y) else np.zeros(len(x), bool)
+        last[full] = near[full, (upto[full] >= k).argmax(axis=1)]
+        i, j = np.nonzero((d <= last[:, None]) & (rows > 0))
+        yield at + i, j, np.sqrt(d[i, j]), rows[i, j], np.sqrt(last)
+
+
+def nearest(queries: DataFrame, points: DataFrame, columns: list[str], k: int, same: bool = False) -> DataFrame:
+    """(_q, _p, d, w): how the k rows nearest to each query are spread over points; exact, whatever the number of rows.
+
+    queries: _q and columns; points: _p, _n and columns, where _n rows share a point; both written tables without
+    nulls. Rows at the last distance share the places left equally, so no order among ties is needed. With same, _q
+    and _p name the same points and a row isn't its own neighbour. Fewer than k rows: all of them.
+    A first look into a query's own cell bounds its distance; then it visits the cells within that distance.
+    """
+    spark = points.sparkSession
+    sample = reference(points, ["_p"], columns, CUT_ROWS)
+    asked = sample if same else reference(queries, ["_q"], columns, CUT_ROWS)
+    rows = points.count() + (0 if same else queries.count())
+    tree = Cells(sample if same else np.concatenate([sample, asked]), -(-rows // CELL_ROWS))  # cut for queries too, so that no cell gathers them
+    cells = spark.sparkContext.broadcast((tree, sample[:LIMIT]))
+    xs = ", ".join(f"`{c}` double" for c in columns)
+
+    def placed(batches):
         for pdf in batches:
-            x = pdf[columns].to_numpy(dtype=float)
-            for i in np.flatnonzero(np.isnan(x).any(axis=1)):
-                here = ~np.isnan(x[i])
-                if len(y) and here.any():
-                    d = ((y[:, here] - x[i, here]) ** 2).sum(axis=1) * (len(columns) / here.sum())
-                    near = np.argsort(d, kind="stable")[:k]
-                    x[i, ~here] = y[near][:, ~here].mean(axis=0)
-                elif len(y):
-                    x[i] = y.mean(axis=0)
-            yield pdf.assign(**{c: x[:, j] for j, c in enumerate(columns)})
+            row, cell = cells.value[0].reached(pdf[columns].to_numpy(float), np.zeros(len(pdf)))
+            yield pdf.iloc[row].assign(_cell=cell)
 
-    return df.mapInPandas(run, schema)
+    def bounded(q, y):
+        x, r = q[columns].to_numpy(float), [np.empty(0)]
+        for *_, last in _closest(x, q["_q"].to_numpy(), y[columns].to_numpy(float), y["_p"].to_numpy(), y["_n"].to_numpy(), k, same):
+            r.append(last)
+        return q[["_q", *columns]].assign(_r=np.concatenate(r))
+
+    def visits(batches):
+        for pdf in batches:
+            x, r = pdf[columns].to_numpy(float), pdf["_r"].to_numpy().copy()
+            open_, rows = np.flatnonzero(np.isinf(r)), cells.value[1]
+            if len(open_) and len(rows) > k:  # too few rows in its cell: the sample's rows bound the distance
+                r[open_] = np.sort(_distances(x[open_], rows), axis=1)[:, k]
+            row, cell = cells.value[0].reached(x, r * (1 + 1e-9) + 1e-9)
+            yield pdf.iloc[row][["_q", *columns]].assign(_cell=cell)
+
+    def found(q, y):
+        out = [pd.DataFrame({"_q": q["_q"].to_numpy()[i], "_p": y["_p"].to_numpy()[j], "d": d, "n": n}) for i, j, d, n, _ in _closest(q[columns].to_numpy(float), q["_q"].to_numpy(), y[columns].to_numpy(float), y["_p"].to_numpy(), y["_n"].to_numpy(), k, same)]
+        return pd.concat(out) if out else pd.DataFrame({"_q": [], "_p": [], "d": [], "n": []})
+
+    there = points.select("_p", "_n", *columns).mapInPandas(placed, f"_p long, _n long, {xs}, _cell long").groupBy("_cell")
+    first = queries.select("_q", *columns).mapInPandas(placed, f"_q long, {xs}, _cell long").groupBy("_cell")
+    within = first.cogroup(there).applyInPandas(bounded, f"_q long, {xs}, _r double")
+    sought = within.mapInPandas(visits, f"_q long, {xs}, _cell long").groupBy("_cell")
+    pairs = sought.cogroup(there).applyInPandas(found, "_q long, _p long, d double, n long")
+    at_d, before = F.sum("n").over(Window.partitionBy("_q", "d")), F.sum("n").over(Window.partitionBy("_q").orderBy("d"))
+    ranked = pairs.withColumn("at_d", at_d).withColumn("before", before - F.col("at_d")).where(F.col("before") < k)
+    return ranked.select("_q", "_p", "d", (F.col("n") * F.least("at_d", k - F.col("before")) / F.col("at_d")).alias("w"))
+
+
+def _points(df: DataFrame, columns: list[str], name: str, *more) -> DataFrame:
+    """The different points of df with numbers and, if wanted, sums over their rows; written."""
+    from plinth.sources.tables import durable
+
+    points = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"), *more)
+    return durable(points.withColumn(name, F.monotonically_increasing_id()))
+
+
+def knn_impute(df: DataFrame, keys: list[str], columns: list[str], k: int = 5) -> DataFrame:
+    """Nulls become the mean of the k rows without nulls that are nearest in the columns present.
+
+    All rows are searched, ties at the last distance share its places (so keys aren't needed), and rows with no column
+    present get the means. Without a row that has all columns, nulls stay. Columns become doubles.
+    """
+    wide = df.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns})
+    donors = wide.select(*columns).dropna()
+    gaps = wide.select(*[F.col(c).isNull().alias(c) for c in columns]).distinct().collect()  # at most 2 to the number of columns
+    out = wide.withColumns({f"_old_{c}": F.col(c) for c in columns})
+    for gap in gaps:
+        here, absent = [c for c in columns if not gap[c]], [c for c in columns if gap[c]]
+        if not absent:
+            continue
+        if here:
+            points = _points(donors, here, "_p", *[F.avg(c).alias(f"_new_{c}") for c in absent])
+            queries = _points(wide.where(" AND ".join(f"`{c}` IS {'' if gap[c] else 'NOT '}NULL" for c in columns)).select(*here), here, "_q")
+            near = nearest(queries, points, here, k).join(points.select("_p", *[f"_new_{c}" for c in absent]), "_p")
+            fill = near.groupBy("_q").agg(*[(F.sum(F.col("w") * F.col(f"_new_{c}")) / F.sum("w")).alias(f"_new_{c}") for c in absent])
+            fill = queries.join(fill, "_q").select(*[F.col(c).alias(f"_at_{c}") for c in here], *[f"_new_{c}" for c in absent])
+        else:
+            fill = donors.agg(*[F.avg(c).alias(f"_new_{c}") for c in absent])
+        match = F.lit(True)
+        for c in columns:
+            match = match & (F.col(f"_old_{c}").isNull() if gap[c] else F.col(f"_old_{c}") == F.col(f"_at_{c}"))
+        out = out.join(fill, match, "left").withColumns({c: F.coalesce(F.col(c), F.col(f"_new_{c}")) for c in absent})
+        out = out.drop(*[f"_new_{c}" for c in absent], *[f"_at_{c}" for c in here])
+    return out.select(*df.columns)
 
 
 def iterative_impute(df: DataFrame, columns: list[str], rounds: int = 3) -> DataFrame:
@@ -81,29 +206,24 @@ def iterative_impute(df: DataFrame, columns: list[str], rounds: int = 3) -> Data
     return out.drop(*[f"_gap_{c}" for c in columns])
 
 
-def local_outlier_factor(df: DataFrame, keys: list[str], columns: list[str], k: int = 20, limit: int = LIMIT) -> DataFrame:
-    """Adds lof: density of the k nearest reference rows over the row's own; about 1 inside, larger for outliers."""
-    y = reference(df, keys, columns, limit)
-    k = min(k, max(1, len(y) - 1))
-    if len(y) > 1:
-        d = _distances(y, y)
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        reach = np.take_along_axis(d, near, 1)[:, -1]
-        density = 1 / np.maximum(np.maximum(np.take_along_axis(d, near, 1), reach[near]).mean(axis=1), 1e-12)
-    shared = df.sparkSession.sparkContext.broadcast((y, reach, density) if len(y) > 1 else None)
+def local_outlier_factor(df: DataFrame, keys: list[str], columns: list[str], k: int = 20) -> DataFrame:
+    """Adds lof: density of the k nearest rows over the row's own; about 1 inside, larger for outliers.
 
-    def score(x):
-        if shared.value is None:
-            return np.ones(len(x))
-        y, reach, density = shared.value
-        d = _distances(np.nan_to_num(x), y)
-        d[d < 1e-9] = np.inf  # the row itself
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        own = 1 / np.maximum(np.maximum(np.take_along_axis(d, near, 1), reach[near]).mean(axis=1), 1e-12)
-        return density[near].mean(axis=1) / own
-
-    return _with(df, columns, "lof", "double", score)
+    All rows are searched; equal rows share a point and a result, and ties at the last distance share its places, so
+    keys aren't needed. A row with a null has no lof; a row without neighbours has 1.
+    """
+    from plinth.sources.tables import durable
+
+    wide = df.select("*", *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    xs = [f"_x{i}" for i in range(len(columns))]
+    points = _points(wide.select(*xs).dropna(), xs, "_p")
+    near = durable(nearest(points.withColumnRenamed("_p", "_q"), points, xs, k, same=True))
+    far = near.groupBy(F.col("_q").alias("_p")).agg(F.max("d").alias("far"))
+    dense = durable(near.join(far, "_p").groupBy("_q").agg((1 / F.greatest(F.sum(F.col("w") * F.greatest("d", "far")) / F.sum("w"), F.lit(1e-12))).alias("own")))
+    around = near.join(dense.select(F.col("_q").alias("_p"), F.col("own").alias("other")), "_p").groupBy("_q").agg((F.sum(F.col("w") * F.col("other")) / F.sum("w")).alias("other"))
+    lof = around.join(dense, "_q").select(F.col("_q").alias("_p"), (F.col("other") / F.col("own")).alias("lof"))
+    scored = points.join(lof, "_p", "left").select(*xs, F.coalesce("lof", F.lit(1.0)).alias("lof"))
+    return wide.join(scored, xs, "left").select(*df.columns, "lof")
 
 
 def isolation_forest(df: DataFrame, keys: list[str], columns: list[str], trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:

@@ -11,7 +11,7 @@ from plinth.operators import selection as H
 from plinth.operators import stats as S
 from plinth.plans.catalog import query
 from plinth.plans.evaluation import REG, regressions, rounded, table
-from plinth.plans.features import holes
+from plinth.plans.features import HOLES, holes
 from plinth.plans.learning import returned
 
 
@@ -82,7 +82,8 @@ def _(t):
     return t.events.select("event_id", F.round(F.sqrt(0.7 * F.pow(F.col("value") - 20, F.lit(2)) + 0.3 * F.pow(F.col("user_id") - 50, F.lit(2))), 5).alias("d"))
 
 
-@query("m03_knn_impute")
+@query("m03_knn_impute", HOLES + """, g AS (SELECT user_id AS o, count(v) AS n, sum(v) AS s FROM h WHERE v IS NOT NULL GROUP BY 1), q AS (SELECT DISTINCT user_id AS u FROM h WHERE v IS NULL), d AS (SELECT u, abs(u - o) AS d, sum(n) AS n, sum(s) AS s FROM q, g GROUP BY 1, 2),
+c AS (SELECT *, sum(n) OVER (PARTITION BY u ORDER BY d) - n AS before FROM d), f AS (SELECT u, sum(least(n, 5 - before) * s / n) / sum(least(n, 5 - before)) AS f FROM c WHERE before < 5 GROUP BY 1) SELECT event_id, round(coalesce(v, f), 6) AS v FROM h LEFT JOIN f ON user_id = u""")
 def _(t):
     h = holes(t).select("event_id", F.col("user_id").cast("double").alias("u"), "v")
     return N.knn_impute(h, ["event_id"], ["u", "v"]).select("event_id", F.round("v", 6).alias("v"))
@@ -100,7 +101,11 @@ def _(t):
     return N.isolation_forest(rows, ["c_custkey"], ["c_acctbal", "n"]).select("c_custkey", F.round("isolation", 6).alias("isolation"))
 
 
-@query("o04_local_outlier_factor")
+@query("o04_local_outlier_factor", """
+WITH p AS (SELECT c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS y, count(*) AS n FROM customer GROUP BY 1, 2), r AS (SELECT a.x, a.y, b.x AS ox, b.y AS oy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, b.n - CAST(a.x = b.x AND a.y = b.y AS INTEGER) AS n FROM p a, p b),
+s AS (SELECT *, sum(n) OVER (PARTITION BY x, y, d) AS m, sum(n) OVER (PARTITION BY x, y ORDER BY d) AS upto FROM r WHERE n > 0), e AS (SELECT *, n * least(m, 20 - (upto - m)) / m AS w FROM s WHERE upto - m < 20),
+f AS (SELECT x AS ox, y AS oy, max(d) AS far FROM e GROUP BY 1, 2), l AS (SELECT x, y, 1 / greatest(sum(w * greatest(d, far)) / sum(w), 1e-12) AS own FROM e JOIN f USING (ox, oy) GROUP BY 1, 2),
+g AS (SELECT e.x, e.y, sum(w * own) / sum(w) AS other FROM e JOIN l ON l.x = ox AND l.y = oy GROUP BY 1, 2) SELECT c_custkey, round(other / own, 6) AS lof FROM customer JOIN g ON g.x = c_acctbal AND g.y = c_nationkey JOIN l ON l.x = g.x AND l.y = g.y""")
 def _(t):
     rows = t.customer.select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("n"))
     return N.local_outlier_factor(rows, ["c_custkey"], ["c_acctbal", "n"]).select("c_custkey", F.round("lof", 6).alias("lof"))

@@ -1,6 +1,7 @@
 """Models, densities and searches on small made tables."""
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from plinth.operators import generators, learning, neighbors, selection, stats
@@ -59,6 +60,68 @@ def test_neighbours(spark):
         assert out.where(F.abs(F.col("b") - F.col("id") / 10) > 0.5).count() <= 2
 
 
+def _spread(spark, n=600):
+    """A third of all rows equal, a grid with ties, a far group, rows with nulls; extra columns."""
+    i = F.col("id")
+    a = F.when(i % 3 == 0, 5.0).when(i % 50 == 1, 1e6 + i).otherwise((i * 7 % 31).cast("double"))
+    b = F.when(i % 3 == 0, 5.0).otherwise((i * 11 % 17).cast("double"))
+    return spark.range(n).select("id", a.alias("a"), F.when(i % 10 != 7, b).alias("b"), F.lit("x").alias("w"))
+
+
+def _shared(d, n, k):
+    """Weights of the k nearest rows: whole distances first, the last one's rows share what is left."""
+    w, left = np.zeros(len(d)), k
+    for x in np.unique(d[n > 0]):
+        at = (d == x) & (n > 0)
+        w[at] = n[at] * min(n[at].sum(), left) / n[at].sum()
+        left -= min(n[at].sum(), left)
+    return w
+
+
+@pytest.mark.parametrize("cell_rows", [1000, 8])
+def test_densities_equal_a_search_of_all_pairs(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(neighbors, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(neighbors, "LEAST_ROWS", 4)
+    df = _spread(spark)
+    got = {r["id"]: r["lof"] for r in neighbors.local_outlier_factor(df, ["id"], ["a", "b"], 6).collect()}
+    rows = df.toPandas()
+    x = rows[["a", "b"]].to_numpy(float)
+    whole = np.flatnonzero(~np.isnan(x).any(axis=1))
+    d = np.sqrt(((x[whole, None] - x[None, whole]) ** 2).sum(axis=2))
+    w = np.array([_shared(d[i], 1 - (np.arange(len(whole)) == i), 6) for i in range(len(whole))])
+    far = np.array([d[i][w[i] > 0].max() for i in range(len(whole))])
+    own = 1 / np.maximum((w * np.maximum(d, far)).sum(axis=1) / w.sum(axis=1), 1e-12)
+    want = (w * own).sum(axis=1) / w.sum(axis=1) / own
+    assert len(got) == len(rows) and all(got[i] is None for i in set(range(len(rows))) - set(whole.tolist()))
+    assert np.allclose([got[i] for i in whole.tolist()], want, rtol=1e-6)
+
+
+@pytest.mark.parametrize("cell_rows", [1000, 8])
+def test_imputed_values_equal_a_search_of_all_rows(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(neighbors, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(neighbors, "LEAST_ROWS", 4)
+    df = _spread(spark).withColumn("a", F.when(F.col("id") % 14 != 3, F.col("a")))
+    got = neighbors.knn_impute(df, ["id"], ["a", "b"], 4).orderBy("id").toPandas()
+    x = df.orderBy("id").toPandas()[["a", "b"]].to_numpy(float)
+    donors, want = x[~np.isnan(x).any(axis=1)], x.copy()
+    for i in np.flatnonzero(np.isnan(x).any(axis=1)):
+        here = ~np.isnan(x[i])
+        if here.any():
+            w = _shared(np.sqrt(((donors[:, here] - x[i, here]) ** 2).sum(axis=1)), np.ones(len(donors)), 4)
+            want[i, ~here] = (w @ donors[:, ~here]) / w.sum()
+        else:
+            want[i] = donors.mean(axis=0)
+    assert list(got.columns) == df.columns and np.allclose(got[["a", "b"]].to_numpy(float), want)
+
+
+def test_neighbours_of_empty_and_single_tables(spark):
+    none = _spread(spark).where("id < 0")
+    assert neighbors.local_outlier_factor(none, ["id"], ["a", "b"]).count() == 0 and neighbors.knn_impute(none, ["id"], ["a", "b"]).count() == 0
+    one = _spread(spark).where("id = 1")
+    assert neighbors.local_outlier_factor(one, ["id"], ["a", "b"]).first()["lof"] == 1
+    assert neighbors.knn_impute(_spread(spark).where("id = 7"), ["id"], ["a", "b"]).first()["b"] is None
+
+
 def test_dbscan_separates_groups_and_noise(spark):
     df = spark.range(60).select("id", F.when(F.col("id") < 30, F.col("id") * 0.1).when(F.col("id") < 59, 50 + F.col("id") * 0.1).otherwise(1000.0).alias("x"))
     got = {r["id"]: r["cluster"] for r in neighbors.dbscan(df, "id", ["x"], 0.5, 3).collect()}
