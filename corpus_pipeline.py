@@ -39,7 +39,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
 
-#: The stages fit a classifier and tokenize, which SQL cannot express; tests hold each against a plain version.
+#: The stages fit a classifier and tokenize, which SQL cannot express; tests run them from end to end and test each operator by itself.
 ORACLE_SQL = None
 
 
