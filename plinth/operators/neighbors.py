@@ -272,39 +272,144 @@ def _average_path(n: int) -> float:
     return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
+def _square(gaps: list):
+    return sum((g * g for g in gaps), F.lit(0.0))
+
+
+def _gap(a: list, b: list):
+    """The least square distance between boxes of (low, high) columns; rounding keeps it at most that of any two of their points."""
+    return _square([F.greatest(F.lit(0.0), c - h, l - g) for (l, h), (c, g) in zip(a, b, strict=True)])
+
+
+def _reach(a: list, b: list):
+    """The largest square distance between boxes, at least that of any two of their points."""
+    return _square([F.greatest(g - l, h - c) for (l, h), (c, g) in zip(a, b, strict=True)])
+
+
+def _box(name: str, d: int) -> list:
+    return [(F.col(f"{name}l{i}"), F.col(f"{name}h{i}")) for i in range(d)]
+
+
+def _boxes(df: DataFrame, name: str, d: int, *more) -> DataFrame:
+    return df.select(F.col("cell").alias(name), *[F.col(f"{e}{i}").alias(f"{name}{e}{i}") for i in range(d) for e in ("l", "h")], *more)
+
+
+def _near(a: DataFrame, b: DataFrame, d: int, eps: float, width: float) -> DataFrame:
+    """Boxes a and b, no wider than eps, between which points within eps may lie; they meet in a grid of width 2 eps or more."""
+    for i in range(d):
+        at = F.floor(F.col(f"al{i}") / width).cast("long")
+        a, b = a.withColumn(f"g{i}", F.explode(F.array(at - 1, at, at + 1))), b.withColumn(f"g{i}", F.floor(F.col(f"bl{i}") / width).cast("long"))
+    grid = [f"g{i}" for i in range(d)]
+    return a.join(b, grid).where(_gap(_box("a", d), _box("b", d)) <= eps * eps).drop(*grid)
+
+
+def _touch(x: np.ndarray, y: np.ndarray, square: float) -> bool:
+    """Whether a point of x and one of y are near: halves of the boxes whose distances leave it open."""
+    todo = [(x, y)]
+    while todo:
+        x, y = todo.pop()
+        (xl, xh), (yl, yh) = (x.min(0), x.max(0)), (y.min(0), y.max(0))
+        if (np.maximum(0, np.maximum(yl - xh, xl - yh)) ** 2).sum() > square:
+            continue
+        if (np.maximum(yh - xl, xh - yl) ** 2).sum() <= square:
+            return True
+        if len(x) * len(y) <= 4096:
+            if (sum((x[:, j, None] - y[None, :, j]) ** 2 for j in range(x.shape[1])) <= square).any():
+                return True
+            continue
+        if len(x) < len(y):
+            x, y = y, x
+        order = np.argpartition(x[:, j := int(np.argmax(np.ptp(x, axis=0)))], len(x) // 2)
+        halves = [x[order[: len(x) // 2]], x[order[len(x) // 2 :]]]
+        near = sorted(halves, key=lambda h: -abs(h[:, j].mean() - y[:, j].mean()))
+        todo += [(h, y) for h in near]  # the nearer half is looked at first
+    return False
+
+
+def _smallest(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """vertices (v), links (a, b) -> (v, l): the smallest vertex that each one reaches, by propagation with pointer jumping."""
+    from plinth.sources.tables import durable
+
+    both = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = vertices.select("v", F.col("v").alias("l"))
+    while True:
+        seen = both.join(label.select(F.col("v").alias("b"), "l"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
+        moved = label.join(seen, "v", "left").select("v", "l", F.least("l", "m").alias("m"))
+        jumped = moved.join(label.select(F.col("v").alias("m"), F.col("l").alias("far")), "m").select("v", "l", F.least("m", "far").alias("m"))
+        jumped = durable(jumped)
+        label = jumped.select("v", F.col("m").alias("l"))
+        if jumped.where("l <> m").isEmpty():
+            return label
+
+
 def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int) -> DataFrame:
     """(key, cluster): DBSCAN in few dimensions; noise is -1, clusters are named by their smallest core key.
 
-    Points meet only in neighbouring grid cells of side eps; core points that are near are joined by label
-    propagation with pointer jumping; a border point joins its nearest core point's cluster.
+    Exact, without pairs of dense places. Equal rows are one point. Any two points of a grid cell are within eps, so
+    all points of a cell of `least` rows are core and the core points of a cell share a cluster. Only points of
+    other cells, fewer than `least` in each, are compared with the points around them. Cells of core points are linked
+    by the distances of their boxes and outermost points; where that leaves cells of different clusters open,
+    their points are searched. A border point joins its nearest core point's cluster. Rows with a null are left out; a row at
+    infinity is noise.
     """
     from plinth.sources.tables import durable
 
-    cell = lambda c: F.floor(F.col(c) / eps).cast("long")
-    base = df.select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).dropna()
     d = len(columns)
-    base = durable(base.withColumns({f"c{i}": cell(f"x{i}") for i in range(d)}))
-    near = base
-    for i in range(d):
-        near = near.withColumn(f"c{i}", F.explode(F.array(F.col(f"c{i}") - 1, F.col(f"c{i}"), F.col(f"c{i}") + 1)))
-    other = base.select(F.col("k").alias("o"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(d)], *[f"c{i}" for i in range(d)])
-    square = sum((F.pow(F.col(f"x{i}") - F.col(f"y{i}"), F.lit(2)) for i in range(d)), F.lit(0.0))
-    pairs = durable(near.join(other, [f"c{i}" for i in range(d)]).where(square <= eps * eps).select("k", "o", square.alias("d")))
-    core = durable(pairs.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("k"))
-    links = durable(pairs.join(core, "k", "left_semi").join(core.withColumnRenamed("k", "o"), "o", "left_semi").select("k", "o"))
-    label = durable(core.select("k", F.col("k").alias("l")))
-    while True:
-        seen = links.join(label.select(F.col("k").alias("o"), "l"), "o").groupBy("k").agg(F.min("l").alias("m"))
-        moved = label.join(seen, "k").select("k", "l", F.least("l", "m").alias("m"))
-        jumped = moved.join(label.select(F.col("k").alias("m"), F.col("l").alias("far")), "m").select("k", "l", F.least("m", "far").alias("m"))
-        jumped = durable(jumped)
-        changed = jumped.where("l <> m").limit(1).count()
-        label = jumped.select("k", F.col("m").alias("l"))
-        if not changed:
-            break
-    border = pairs.join(label.select(F.col("k").alias("o"), "l"), "o").groupBy("k").agg(F.min_by("l", F.struct("d", "l")).alias("b"))
-    named = base.select("k").join(label, "k", "left").join(border, "k", "left")
-    return named.select(F.col("k").alias(key), F.coalesce("l", "b", F.lit(-1)).alias("cluster"))
+    xs, square = [f"x{i}" for i in range(d)], eps * eps
+    rows = durable(df.select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(x) for c, x in zip(columns, xs, strict=True)]).dropna())
+    finite = rows.where(" AND ".join(f"abs({x}) < double('Infinity')" for x in xs))
+    points = durable(finite.groupBy(*xs).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k")))
+    most = points.agg(F.greatest(F.lit(0.0), *[F.max(F.abs(x)) for x in xs]).alias("most")).first()["most"] or 0.0
+    error = most * 2.0**-50  # of a quotient's floor, in the columns' unit
+    side, width = eps / math.sqrt(d) * (1 - 1e-6) - error, 2 * (eps * (1 + 1e-6) + error)
+    grid = [(F.floor(F.col(x) / side).cast("long") if side > eps / 1000 else F.col(x)).alias(f"c{i}") for i, x in enumerate(xs)]
+    points = points.select("*", *grid)
+    cs = [f"c{i}" for i in range(d)]
+    edges = [f(x).alias(f"{e}{i}") for i, x in enumerate(xs) for e, f in (("l", F.min), ("h", F.max))]
+    cells = durable(points.groupBy(*cs).agg(F.sum("n").alias("rows"), *edges).withColumn("cell", F.monotonically_increasing_id()))
+    dense = F.col("rows") >= least
+    placed = durable(points.join(cells.select(*cs, "cell", dense.alias("dense")), cs).select("cell", "dense", "n", "k", *xs).withColumn("p", F.monotonically_increasing_id()))
+    others = placed.select(F.col("cell").alias("b"), F.col("n").alias("m"), F.col("p").alias("o"), *[F.col(x).alias(f"y{i}") for i, x in enumerate(xs)])
+    at, apart = [(F.col(x), F.col(x)) for x in xs], _square([F.col(x) - F.col(f"y{i}") for i, x in enumerate(xs)])
+
+    around = durable(_near(_boxes(cells.where(~dense), "a", d), _boxes(cells, "b", d, "rows"), d, eps, width))
+    visits = placed.where("NOT dense").select("cell", "p", *xs).join(around.withColumnRenamed("a", "cell"), "cell").where(_gap(at, _box("b", d)) <= square)
+    whole = _reach(at, _box("b", d)) <= square
+    counted = visits.where(whole).select("p", F.col("rows").alias("m")).unionByName(visits.where(~whole).join(others, "b").where(apart <= square).select("p", "m"))
+    found = counted.groupBy("p").agg(F.sum("m").alias("m")).where(F.col("m") >= least).select("p", F.lit(True).alias("found"))
+    placed = durable(placed.join(found, "p", "left").withColumn("core", F.col("dense") | F.coalesce("found", F.lit(False))).drop("dense", "found"))
+    core = placed.where("core")
+
+    point = F.array(*xs)
+    signs = [[(1, -1)[n >> i & 1] for i in range(d)] for n in range(1 << d)] if d <= 3 else []
+    ways = [*[s * F.col(x) for x in xs for s in (1, -1)], *[sum((s * F.col(x) for s, x in zip(sign, xs, strict=True)), F.lit(0.0)) for sign in signs]]
+    cores = durable(core.groupBy("cell").agg(F.min("k").alias("k"), *edges, F.array_distinct(F.array(*[F.max_by(point, w) for w in ways])).alias("ends")))
+    pairs = _near(_boxes(cores, "a", d, F.col("ends").alias("u")), _boxes(cores, "b", d, F.col("ends").alias("w")), d, eps, width).where("a < b")
+    ends = F.exists("u", lambda u: F.exists("w", lambda w: _square([F.get(u, F.lit(i)) - F.get(w, F.lit(i)) for i in range(d)]) <= square))
+    pairs = durable(pairs.withColumn("linked", (_reach(_box("a", d), _box("b", d)) <= square) | ends).drop("u", "w"))
+    label = _smallest(cores.select(F.col("cell").alias("v")), pairs.where("linked"))
+    name = lambda v, l: label.select(F.col("v").alias(v), F.col("l").alias(l))
+    left = durable(pairs.where("NOT linked").join(name("a", "la"), "a").join(name("b", "lb"), "b").where("la <> lb"))
+    if not left.isEmpty():
+        between = ["la", "lb", "a", "b"]
+        sides = [core.select(F.col("cell").alias(v), *xs).join(left, v).where(_gap(at, _box(o, d)) <= square).select(*[F.col(c).alias(f"{c}_{v}") for c in (*between, *xs)]) for v, o in (("a", "b"), ("b", "a"))]
+        sides = [side.groupBy(*side.columns[:4]) for side in sides]
+
+        def touching(x, y):
+            hit = len(x) and len(y) and _touch(x.iloc[:, 4:].to_numpy(float), y.iloc[:, 4:].to_numpy(float), square)
+            return pd.DataFrame({"a": x["la_a"][:1], "b": x["lb_a"][:1]} if hit else {"a": [], "b": []})
+
+        joined = _smallest(label.select(F.col("l").alias("v")).distinct(), sides[0].cogroup(sides[1]).applyInPandas(touching, "a long, b long").distinct())
+        label = label.join(joined.select(F.col("v").alias("l"), F.col("l").alias("to")), "l").select("v", F.col("to").alias("l"))
+    named = label.join(cores.select(F.col("cell").alias("v"), "k"), "v")
+    cluster = durable(named.join(named.groupBy("l").agg(F.min("k").alias("cluster")), "l").select(F.col("v").alias("cell"), "cluster"))
+
+    visits = placed.where("NOT core").select("cell", "p", *xs).join(around.withColumnRenamed("a", "cell"), "cell").where(_gap(at, _box("b", d)) <= square)
+    there = others.join(core.select(F.col("p").alias("o")), "o", "left_semi").join(cluster.withColumnRenamed("cell", "b"), "b")
+    border = visits.drop("cell").join(there, "b").select(*xs, apart.alias("d"), "cluster").where(F.col("d") <= square)
+    border = border.groupBy(*xs).agg(F.min_by("cluster", F.struct("d", "cluster")).alias("cluster"))
+    known = core.join(cluster, "cell").select(*xs, "cluster").unionByName(border)
+    return rows.join(known, xs, "left").select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def k_distances(df: DataFrame, keys: list[str], columns: list[str], k: int = 5, limit: int = LIMIT) -> pd.DataFrame:

@@ -128,6 +128,48 @@ def test_dbscan_separates_groups_and_noise(spark):
     assert {got[i] for i in range(30)} == {0} and {got[i] for i in range(30, 59)} == {30} and got[59] == -1
 
 
+def _dbscan_by_pairs(rows, eps, least):
+    rows = [r for r in rows if None not in r]
+    k, x = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows], float)
+    with np.errstate(invalid="ignore"):
+        d = ((x[:, None] - x[None]) ** 2).sum(2)
+    near, none = d <= eps * eps, 10**9
+    core = near.sum(1) >= least
+    label, before = np.where(core, k, none), None
+    while before is None or (label != before).any():
+        before, label = label, np.where(core, np.where(near & core[None], label[None], none).min(1), none)
+    nearest = [min(((d[i, j], label[j]) for j in np.flatnonzero(near[i] & core)), default=(0, -1))[1] for i in range(len(k))]
+    return {int(k[i]): int(label[i] if core[i] else nearest[i]) for i in range(len(k))}
+
+
+def test_dbscan_equals_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    loose = [(i, round(float(a), 2), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(0, 4, 400), rng.normal(0, 1, 400), strict=True))]
+    loose += [(400 + i, 1.0, 1.0) for i in range(5)] + [(410, None, 1.0)] + [(411 + i, float("inf"), 2.0) for i in range(5)]
+    bands = [(i, i * 0.02, float(np.sin(i * 0.02) + i % 2 * 0.6 + rng.uniform(0, 0.1))) for i in range(300)]
+    for rows, eps, least in ((loose, 0.3, 4), (bands, 0.35, 4)):
+        want = _dbscan_by_pairs(rows, eps, least)
+        got = {r["id"]: r["cluster"] for r in neighbors.dbscan(spark.createDataFrame(rows, "id long, x double, y double"), "id", ["x", "y"], eps, least).collect()}
+        assert got == want and len(set(want.values())) > 1
+
+
+def test_dbscan_writes_no_pairs_of_a_dense_place(spark, monkeypatch):
+    from plinth.sources import tables
+
+    sizes, write = [], tables.durable
+    monkeypatch.setattr(tables, "durable", lambda df: (lambda out: (sizes.append(out.count()), out)[1])(write(df)))
+    df = spark.range(1500).select("id", (F.col("id") * 1e-4).alias("x"), F.lit(1.0).alias("y"))
+    assert {r["cluster"] for r in neighbors.dbscan(df, "id", ["x", "y"], 1.0, 4).collect()} == {0}
+    assert max(sizes) <= 1500
+
+
+def test_near_point_sets_are_found_by_halves():
+    x = np.random.default_rng(1).uniform(0, 1, (3000, 2))
+    y = x + [1.5, 0.0]
+    least = min(((y[:, None] - x[i]) ** 2).sum(-1).min() for i in range(len(x)))
+    assert neighbors._touch(x, y, least) and not neighbors._touch(x, y, np.nextafter(least, 0))
+
+
 def test_chi_square_and_rank_tests(spark):
     assert abs(stats.chi2_upper(5.991465, 2) - 0.05) < 1e-6 and abs(stats.chi2_upper(1.0, 5) - 0.962566) < 1e-5
     df = spark.createDataFrame([(float(i), float(i) + (1 if i % 4 else -1), float(-i)) for i in range(40)], "a double, b double, c double")
