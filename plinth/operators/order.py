@@ -51,10 +51,39 @@ def quantiles(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[f
             out[column] = [None] * len(ps)
             continue
         places = [p * (n - 1) for p in ps]
-        ranks = sorted({f for x in places for f in (math.floor(x), math.ceil(x))})
-        upto = F.sum("n").over(Window.partitionBy("_part").orderBy("v"))
-        spans = parts.withColumn("_end", upto).join(F.broadcast(_shift(parts, F.sum("n"))), "_part").select("v", (F.col("_shift") + F.col("_end") - F.col("n")).alias("a"), (F.col("_shift") + F.col("_end")).alias("b"))
-        hit = spans.withColumn("rank", F.explode(F.filter(F.array(*map(F.lit, ranks)), lambda r: (r >= F.col("a")) & (r < F.col("b"))))).collect()  # at most two for each quantile
-        value = {r["rank"]: r["v"] for r in hit}
-        out[column] = [value[math.floor(x)] + (value[math.ceil(x)] - value[math.floor(x)]) * (x - math.floor(x)) for x in places]
+        value = _at(parts, {f for x in places for f in (math.floor(x), math.ceil(x))})
+        out[column] = [_between(value, x) for x in places]
     return out
+
+
+def _at(parts: DataFrame, ranks: set[int]) -> dict[int, float]:
+    """The values at the ranks, from 0, of ranged values v that occur n times each."""
+    upto = F.sum("n").over(Window.partitionBy("_part").orderBy("v"))
+    spans = parts.withColumn("_end", upto).join(F.broadcast(_shift(parts, F.sum("n"))), "_part").select("v", (F.col("_shift") + F.col("_end") - F.col("n")).alias("a"), (F.col("_shift") + F.col("_end")).alias("b"))
+    hit = spans.withColumn("rank", F.explode(F.filter(F.array(*map(F.lit, sorted(ranks))), lambda r: (r >= F.col("a")) & (r < F.col("b"))))).collect()  # at most two for each quantile
+    return {r["rank"]: r["v"] for r in hit}
+
+
+def _between(value: dict[int, float], x: float) -> float:
+    low, high = value[math.floor(x)], value[math.ceil(x)]
+    return low + (high - low) * (x - math.floor(x))
+
+
+def quantile(df: DataFrame, column: str, p: float, accuracy: int = 10_000) -> float | None:
+    """One exact quantile as `quantiles` gives it, for a column of many different values.
+
+    A sketch says between which values it lies; all others are only counted below and above. Where the counts show
+    that it lies elsewhere, all values are ranged.
+    """
+    v = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    bounds = v.agg(F.percentile_approx("v", [max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy)], accuracy).alias("q")).first()["q"]
+    if bounds is None:
+        return None
+    side = F.when(F.col("v") < bounds[0], -1).when(F.col("v") > bounds[1], 1).otherwise(0)
+    counts = durable(v.groupBy(side.alias("side"), F.when(side == 0, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    n = {r["side"]: r["n"] for r in counts.groupBy("side").agg(F.sum("n").alias("n")).collect()}
+    x, below = p * (sum(n.values()) - 1), n.get(-1, 0)
+    if not below <= math.floor(x) <= math.ceil(x) < below + n.get(0, 0):
+        return quantiles(df, {column: [p]})[column][0]
+    value = _at(_ranged(counts.where("side = 0").select("v", "n"), ["v"]), {math.floor(x) - below, math.ceil(x) - below})
+    return _between({k + below: found for k, found in value.items()}, x)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plinth.operators import features as X
+from plinth.operators.order import quantile
 from plinth.plans.catalog import query
 
 HOLES = "WITH h AS (SELECT event_id, user_id, ts, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS k FROM events) "
@@ -72,8 +73,8 @@ SELECT l_returnflag, count(*) AS n FROM x, q WHERE z > e GROUP BY 1""")
 def _(t):
     c = ["l_quantity", "l_extendedprice"]
     z = X.standard(t.lineitem, c).transform(t.lineitem.select("l_returnflag", *c)).select("l_returnflag", F.sqrt(F.pow(c[0], F.lit(2)) + F.pow(c[1], F.lit(2))).alias("z"))
-    edge = z.agg(F.percentile("z", F.lit(0.95)).alias("e"))
-    return z.join(F.broadcast(edge)).where("z > e").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    edge = quantile(z, "z", 0.95)
+    return z.where(F.col("z") > F.lit(edge)).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("o07_rolling_anomaly", """

@@ -123,3 +123,33 @@ def test_tf_idf_query_reads_documents(spark):
     assert out.columns == ["doc_id", "term", "n", "tfidf"] and out.select("term").distinct().count() == 1000
     sums = out.groupBy("doc_id").agg(F.sum(F.col("tfidf") * F.col("tfidf")).alias("s"))
     assert sums.where(F.abs(F.col("s") - 1) > 1e-3).count() == 0
+
+
+def test_one_quantile_is_exact_among_many_values(spark, monkeypatch):
+    import numpy as np
+
+    from plinth.operators import order
+
+    df = spark.range(20_000).select(F.when(F.col("id") % 9 > 0, F.sin(F.col("id")) * 100).alias("z"))
+    x = np.array([r["z"] for r in df.dropna().collect()])
+    sizes, write = [], order.durable
+    monkeypatch.setattr(order, "durable", lambda d: (lambda out: (sizes.append(out.count()), out)[1])(write(d)))
+    for p in (0.0, 0.25, 0.95, 1.0):
+        assert abs(order.quantile(df, "z", p) - np.quantile(x, p)) < 1e-12
+    assert max(sizes) < 100  # values elsewhere are only counted
+    for accuracy in (3, 10):
+        assert abs(order.quantile(df, "z", 0.95, accuracy) - np.quantile(x, 0.95)) < 1e-12
+    assert order.quantile(df.where("z > 1000"), "z", 0.5) is None
+    ties = spark.range(1000).select((F.col("id") >= 949).cast("double").alias("z"))
+    assert abs(order.quantile(ties, "z", 0.95) - 1.0) < 1e-12 and abs(order.quantile(ties, "z", 0.949) - np.quantile([0.0] * 949 + [1.0] * 51, 0.949)) < 1e-12
+
+
+def test_distance_anomalies_take_no_percentile_of_all_values_in_one_task(spark, tmp_path):
+    from plinth.plans import catalog
+
+    catalog.load()
+    rows = spark.range(1000).select(F.when(F.col("id") % 2 > 0, "A").otherwise("B").alias("l_returnflag"), (F.col("id") * 1.0).alias("l_quantity"), (F.col("id") * 3.0).alias("l_extendedprice"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = catalog.QUERIES["o05_distance_anomaly"](spark, str(tmp_path))
+    assert sum(r["n"] for r in out.collect()) == 50
+    assert "percentile(" not in out._jdf.queryExecution().toString()
