@@ -694,6 +694,68 @@ def test_stirling_numbers():
     assert np.allclose(np.exp(t[4, 1:5]), [6, 11, 6, 1])
 
 
+class _Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_every_word_before_has_a_restaurant_of_its_own(spark):
+    """Equally frequent words after equally frequent ones, none of them among the numbered restaurants' words."""
+    fill = [f"f{i}" for i in range(80)]
+    rows = [(i, " ".join(fill * 4 + [f"a{i % 4}", f"b{i % 4}", "z"]), False) for i in range(1, 41)]
+    rows += [(101, "a1 b1", True), (102, "a1 b2", True), (103, "a2 b2", True), (103, "a2 b2", True), (104, None, True), (105, "new b1", True), (None, "a1 b1", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, out boolean")
+    got = collections.defaultdict(list)
+    for r in lm_scoring.score_texts(docs, F.col("out")).collect():
+        got[r.doc_id].append(r.score)
+    assert len(got[103]) == 2 and got[103][0] == got[103][1] and abs(got[101][0] - got[None][0]) < 1e-9
+    assert abs(got[101][0] - got[103][0]) < 0.05  # equal counts; tables elsewhere differ by chance only
+    assert got[101][0] > got[102][0] + 1
+
+
+def test_counts_and_probabilities_after_other_words_equal_plain_ones(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, 40) % 30) for _ in range(25)] + [None, ""]
+    keys, out = list(range(500, 527)), [i % 5 == 0 for i in range(27)]
+    h = [lm_scoring.tokens(t.encode() if t else None) for t in texts]
+    frequent = np.sort(np.unique(np.concatenate(h))[::2])
+    contexts = lm_scoring.Contexts(lm_scoring.tokens(b"w1 w2")[:2])
+    monkeypatch.setattr(lm_scoring, "GATHERED", 300)  # several parts a bucket
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(keys), pa.array(out)], names=["text", "key", "held_out"])
+    parts = sorted(lm_scoring._followers(_Sent(contexts), _Sent(frequent), 3)([batch]), key=lambda b: b.column(0)[0].as_py())
+    assert len(parts) > 3
+    c, size = collections.Counter(), collections.Counter()
+    for x, held in zip(h, out, strict=True):
+        for u, w, room in zip([lm_scoring.END, *x[:-1].tolist()], x.tolist(), contexts.of(x).tolist(), strict=True):
+            if not room and not held:
+                c[u, w] += 1
+                size[u] += 1
+    got = collections.Counter()
+    for b in lm_scoring._cell_counts(_Sent(frequent))(parts):
+        for w, n, cells in zip(*[col.to_pylist() for col in b.columns], strict=True):
+            got[w % 2**64, n] += cells
+    assert got == collections.Counter((w, n) for (u, w), n in c.items())
+    d, parents = 0.6, rng.uniform(0.001, 0.1, len(frequent))
+    t = {k: max(1, min(n, round(n**d))) for k, n in c.items()}
+    tables = collections.Counter()
+    for (u, _), n in t.items():
+        tables[u] += n
+    known = dict(zip(frequent.tolist(), parents.tolist(), strict=True))
+    want, plain = collections.Counter(), lambda u, w, p: ((c[u, w] - d * t.get((u, w), 0)) + (lm_scoring.THETA + d * tables[u]) * p) / (lm_scoring.THETA + size[u])
+    for key, x in zip(keys, h, strict=True):
+        for u, w, room in zip([lm_scoring.END, *x[:-1].tolist()], x.tolist(), contexts.of(x).tolist(), strict=True):
+            if not room:
+                want[key] += math.log10(plain(u, w, known.get(w, 0.02)))
+    model = type("M", (), {"d": d, "parents": parents})()
+    have = collections.Counter()
+    for b in lm_scoring._follow(_Sent(model), _Sent(frequent))(parts):
+        for key, s, w, own, back, k in zip(*[col.to_pylist() for col in b.columns], strict=True):
+            have[key] += s if w is None else k * math.log10(own + back * 0.02)
+    assert set(have) == set(want) and all(abs(have[k] - want[k]) < 1e-9 for k in want)
+
+
 # empty tables
 
 
